@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from byteloom.llm import exact, langid, mixing, packing, simhash
+from byteloom.llm import ann, exact, htmlextract, langid, lm, mixing, packing, secretscan, simhash, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,19 +21,41 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find_copies(_docs(spark, sf_dir))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_docs(spark, sf_dir))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.find_secrets(_docs(spark, sf_dir))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(_docs(spark, sf_dir))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_dedup, op5_mix_sources, op8_pack, op10_language_id)}
+_ALL = (op1_simhash_near_dedup, op2_exact_dedup, op3_lm_score, op4_secret_scan, op5_mix_sources, op6_html_extract, op7_nearest_neighbours, op8_pack, op9_toxicity, op10_language_id)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
