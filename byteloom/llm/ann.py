@@ -2,8 +2,9 @@
 
 Vectors are assigned to lists by k-means, and a vector's difference from its list's centre is quantised in pairs of dimensions to one of 16 codewords, four bits each. What
 matters for large inner products is the part of the quantisation's error that is parallel to the vector, so that part's square weighs ETA times as much as the rest's, both
-when codes are chosen and when codewords are fitted. A query scans the codes of the lists whose centres it likes best through tables of its products with all codewords,
-and the RERANK best of a list are scored again exactly."""
+when codes are chosen and when codewords are fitted. Lists make blocks of about BLOCK vectors. A query scans the codes of the blocks that hold a list it probes through tables
+of its products with all codewords, and the RERANK best of a block are scored again exactly. By default all lists are probed: vectors without structure have their neighbours
+in any list, and fewer probes lose them."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ by_value(__name__)
 
 K = 10
 RERANK = 100
-#: Part of all lists that a query scans.
-PROBED = 0.25
+#: Part of all lists that a query probes.
+PROBED = 1.0
+#: Vectors of a block, of members or of queries, about.
+BLOCK = 16_384
 LIST_ROUNDS, CODE_ROUNDS = 8, 3
 #: Inner products above this share of the norms are the ones to keep; it sets ETA.
 THRESHOLD = 0.2
@@ -86,18 +90,17 @@ def solve(sums: np.ndarray, books: np.ndarray) -> np.ndarray:
     return new.astype(np.float32)
 
 
-def scan(queries: np.ndarray, centre: np.ndarray, books: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Approximate products (queries, vectors): two codes make a byte, and a query's table has a product for each value of it."""
+def scan(queries: np.ndarray, centres: np.ndarray, lists: np.ndarray, books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Approximate products (vectors, queries): two codes make a byte, and the queries' table has their products for each value of it."""
     n, pairs = len(queries), len(books)
+    out = (centres @ queries.T)[lists]
     if pairs % 2:
         books, codes = np.concatenate([books, np.zeros((1, WORDS, 2), np.float32)]), np.concatenate([codes, np.zeros((len(codes), 1), np.uint8)], axis=1)
         queries = np.concatenate([queries, np.zeros((n, 2), np.float32)], axis=1)
-    products = np.einsum("npd,pkd->npk", queries.reshape(n, -1, 2), books)
-    tables = (products[:, 0::2, :, None] + products[:, 1::2, None, :]).reshape(n, -1, WORDS * WORDS)
-    packed = (codes[:, 0::2].astype(np.int64) << 4) | codes[:, 1::2]
-    out = np.repeat((queries[:, : len(centre)] @ centre)[:, None], len(codes), axis=1)
-    for j in range(packed.shape[1]):
-        out += np.take(tables[:, j], packed[:, j], axis=1)
+    products = np.einsum("npd,pkd->pkn", queries.reshape(n, -1, 2), books)
+    for j in range(0, len(books), 2):
+        table_ = (products[j, :, None] + products[j + 1, None]).reshape(WORDS * WORDS, n)
+        out += np.take(table_, (codes[:, j].astype(np.int64) << 4) | codes[:, j + 1], axis=0)
     return out
 
 
@@ -196,46 +199,46 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     centres = fit_lists(rows, n, lists)
     books = fit_books(rows, centres, weight)
     kept = rows.sparkSession.sparkContext.broadcast((centres, books))  # sqrt(n) / 2 centres
+    blocks = max(1, -(-n // BLOCK))
+    of_list = (np.arange(lists) * blocks // lists).astype(np.int64)  # the block of each list
 
     def place(batches):
-        """Each vector as a member of its own list, with its codes, and as a query of the lists that it probes."""
+        """Each vector with its list, that list's block, its codes, and the blocks that it asks as a query."""
         centres, books = kept.value
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 part = b.slice(i, 2048)
-                x, ids = matrix(part.column(1)), part.column(0).to_numpy(zero_copy_only=False)
+                x = matrix(part.column(1))
                 own = nearest(x, centres)
                 codes = encode(x, x - centres[own], books, weight)
-                raw = part.column(1)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(ids), raw, pa.array([c.tobytes() for c in codes], pa.binary())], ["list", "id", "v", "code"])
-                s = x @ centres.T
-                asked = np.argpartition(-s, probes - 1, axis=1)[:, :probes] if probes < lists else np.tile(np.arange(lists), (len(x), 1))
-                rep = np.repeat(np.arange(len(x)), asked.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(asked.reshape(-1).astype(np.int64)), pa.array(ids[rep]), raw.take(pa.array(rep)), pa.nulls(len(rep), pa.binary())], ["list", "id", "v", "code"])
+                if probes < lists:
+                    asked = [np.unique(of_list[a]) for a in np.argpartition(-(x @ centres.T), probes - 1, axis=1)[:, :probes]]
+                else:
+                    asked = [np.arange(blocks)] * len(x)
+                cols = [part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(own, pa.int64()), pa.array(of_list[own]), pa.array(asked, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "v", "code", "list", "block", "asks"])
 
     def search(batches):
         centres, books = kept.value
         held: dict[int, list] = {}
         for b in batches:
             at = b.column(0).to_numpy()
-            for v in np.unique(at).tolist():
-                held.setdefault(v, []).append(b.filter(pa.array(at == v)))
-        for v in list(held):
-            t = pa.Table.from_batches(held.pop(v)).combine_chunks()
+            for c in np.unique(at).tolist():
+                held.setdefault(c, []).append(b.filter(pa.array(at == c)))
+        for c in list(held):
+            t = pa.Table.from_batches(held.pop(c)).combine_chunks()
             member = t.column("code").is_valid()
-            m, q = t.filter(member), t.filter(pa.compute.invert(member))
+            m, q = t.filter(member).sort_by("id"), t.filter(pa.compute.invert(member))
             if not m.num_rows or not q.num_rows:
                 continue
-            order = np.argsort(m.column("id").to_numpy(), kind="stable")
-            ids, x = m.column("id").to_numpy()[order], matrix(m.column("v"))[order]
-            codes = np.frombuffer(b"".join(m.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            asker, queries = q.column("id").to_numpy(), matrix(q.column("v"))
-            for i in range(0, len(asker), 128):
-                who, y = asker[i : i + 128], queries[i : i + 128]
-                rough = scan(y, centres[v], books, codes)
-                rough[who[:, None] == ids[None]] = -np.inf
+            ids, x, at = m.column("id").to_numpy(), matrix(m.column("v").combine_chunks()), m.column("list").to_numpy()
+            codes = np.frombuffer(b"".join(m.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            asker, queries = q.column("id").to_numpy(), matrix(q.column("v").combine_chunks())
+            for i in range(0, len(asker), 64):
+                who, y = asker[i : i + 64], queries[i : i + 64]
+                rough = np.ascontiguousarray(scan(y, centres, at, books, codes).T)
                 top = min(len(ids), max(rerank, k + 1))
-                cand = np.argpartition(-rough, top - 1, axis=1)[:, :top] if top < len(ids) else np.tile(np.arange(len(ids)), (len(who), 1))
+                cand = np.argpartition(rough, len(ids) - top, axis=1)[:, len(ids) - top :] if top < len(ids) else np.tile(np.arange(len(ids)), (len(who), 1))
                 cand.sort(axis=1)
                 exact = np.einsum("nd,ncd->nc", y.astype(np.float64), x[cand].astype(np.float64))
                 exact[who[:, None] == ids[cand]] = -np.inf
@@ -246,7 +249,12 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                     [pa.array(who), pa.array([f[o] for f, o in zip(found, ok)], pa.list_(pa.int64())), pa.array([s[o] for s, o in zip(score, ok)], pa.list_(pa.float64()))], ["vec_id", "ids", "scores"]
                 )
 
-    found = rows.mapInArrow(place, "list bigint, id bigint, v binary, code binary").repartition("list").mapInArrow(search, "vec_id bigint, ids array<bigint>, scores array<double>")
+    placed = table(rows.mapInArrow(place, "id bigint, v binary, code binary, list bigint, block bigint, asks array<bigint>"))
+    # every block of members meets every block of the queries that ask it in a cell of its own
+    asking = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(blocks))
+    members = placed.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select((F.col("block") * blocks + F.col("a")).alias("cell"), "id", "v", "code", "list")
+    queries = placed.select("id", "v", asking.alias("ask"), F.explode("asks").alias("b")).select((F.col("b") * blocks + F.col("ask")).alias("cell"), "id", "v", F.lit(None).cast("binary").alias("code"), F.lit(0).cast("bigint").alias("list"))
+    found = members.unionByName(queries).repartition(blocks * blocks, "cell").mapInArrow(search, "vec_id bigint, ids array<bigint>, scores array<double>")
     pairs = F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i")))
     best = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("best"))
     return best.select("vec_id", F.posexplode("best").alias("r", "b")).select("vec_id", (F.col("r") + 1).alias("rank"), F.col("b.i").alias("neighbour_id"), (-F.col("b.s")).alias("score"))

@@ -78,38 +78,103 @@ def word_scores(model: dict, word: str) -> tuple[tuple[float, ...], float]:
     return (0.0,) * len(model["langs"]), 0.0
 
 
-def identify(model: dict, texts: list[str | None], cache: dict | None = None) -> tuple[list[str], list[float]]:
-    """Language and confidence (share of the best language by mean word) of each text; no evidence, or a tie of all languages, is UNKNOWN with 0."""
-    langs, k = model["langs"], len(model["langs"])
-    cache = {} if cache is None else cache
-    if "rows" not in cache:
-        cache.update(at={}, rows=[])
-    named, sure = [], []
-    for text in texts:
-        at, rows = cache["at"], cache["rows"]
-        idx = []
-        for w in words(text) if text else ():
-            i = at.get(w)
-            if i is None:
-                i = at[w] = len(rows)
-                rows.append((*word_scores(model, w)[0], word_scores(model, w)[1], 1.0) if w.isalpha() else (0.0,) * (k + 2))
-            idx.append(i)
-        if idx and k:
-            ids, n = np.unique(np.array(idx, np.int32), return_counts=True)
-            s = n @ np.array([rows[i] for i in ids.tolist()])
-        else:
-            s = np.zeros(k + 2)
-        if k and s[k + 1] and s[k] >= MIN_KNOWN * s[k + 1] and (k == 1 or s[:k].max() > s[:k].min()):
-            best = int(s[:k].argmax())
-            p = np.exp((s[:k] - s[best]) / s[k + 1])
-            named.append(langs[best])
-            sure.append(float(1 / p.sum()))
-        else:
-            named.append(UNKNOWN)
-            sure.append(0.0)
-        if len(at) > 400_000:
-            cache.update(at={}, rows=[])
-    return named, sure
+def _hashes(letters: np.ndarray, n: int) -> np.ndarray:
+    """Of each place the hash of the ``n`` letters from it on."""
+    h = np.full(len(letters) - n + 1, n, np.uint64)
+    for k in range(n):
+        h = (h ^ letters[k : len(letters) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _letters(own: list[str], marked: bool) -> np.ndarray:
+    return np.frombuffer("".join(f"<{w}>" if marked else w for w in own).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+class Scorer:
+    """``word_scores`` of many words at once, and the scores of the words met so far."""
+
+    LIMIT = 200_000
+
+    def __init__(self, model: dict):
+        self.langs, self.k = model["langs"], len(model["langs"])
+        self.words = model["words"]
+        self.tables = {}
+        for n in range(1, LONGEST + 1):
+            keys = list(model[n])
+            if n > 1:
+                h = np.array([_hashes(_letters([g], False), n)[0] for g in keys], np.uint64)
+            else:
+                h = _hashes(_letters(keys, False), 1) if keys else np.zeros(0, np.uint64)
+            order = np.argsort(h)
+            self.tables[n] = h[order], np.array([model[n][g] for g in keys], np.float64).reshape(-1, self.k)[order]
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((0, self.k + 2))
+
+    def _unseen(self, own: list[str]) -> np.ndarray:
+        out = np.zeros((len(own), self.k + 1))
+        todo = np.arange(len(own))
+        lens = np.array([len(w) for w in own], np.int64)
+        for n in range(LONGEST, 0, -1):
+            keys, shares = self.tables[n]
+            edge = 2 * (n > 1)
+            todo_n = todo[lens[todo] + edge >= n]
+            if not len(todo_n) or not len(keys):
+                continue
+            h = _hashes(_letters([own[i] for i in todo_n], n > 1), n)
+            size = lens[todo_n] + edge
+            count = size - n + 1
+            starts = np.cumsum(count) - count
+            at = np.arange(count.sum()) + np.repeat(np.cumsum(size) - size - starts, count)
+            h = h[at]
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[place] == h
+            found = np.add.reduceat(hit.astype(np.int64), starts)
+            sums = np.add.reduceat(np.where(hit[:, None], shares[place], 0.0), starts, axis=0)
+            ok = (found > 0) & (2 * found >= count)
+            out[todo_n[ok], : self.k] = BACKOFF_WEIGHT * sums[ok] / found[ok, None]
+            out[todo_n[ok], self.k] = n > 1
+            todo = np.setdiff1d(todo, todo_n[ok], assume_unique=True)
+        return out
+
+    def _add(self, fresh: list[str]) -> None:
+        rows = np.zeros((len(fresh), self.k + 2))
+        unseen = []
+        for i, w in enumerate(fresh):
+            if w.isalpha():
+                hit = self.words.get(w)
+                if hit is None:
+                    unseen.append(i)
+                else:
+                    rows[i, : self.k], rows[i, self.k] = hit, 1
+                rows[i, self.k + 1] = 1
+        if unseen and self.k:
+            rows[unseen, : self.k + 1] = self._unseen([fresh[i] for i in unseen])
+        self.rows = np.concatenate([self.rows, rows])
+
+    def identify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and confidence (share of the best language by mean word) of each text; no evidence, or a tie of all languages, is UNKNOWN with 0."""
+        named, sure = [], []
+        for i in range(0, len(texts), 500):
+            if len(self.at) > self.LIMIT:
+                self.clear()
+            at, known = self.at, len(self.at)
+            idx = [np.array([at.setdefault(w, len(at)) for w in words(t)], np.int64) if t else np.zeros(0, np.int64) for t in texts[i : i + 500]]
+            if len(at) > known:
+                self._add(list(at)[known:])
+            for own in idx:
+                s, k = self.rows[own].sum(axis=0), self.k
+                if k and s[k + 1] and s[k] >= MIN_KNOWN * s[k + 1] and (k == 1 or s[:k].max() > s[:k].min()):
+                    best = int(s[:k].argmax())
+                    named.append(self.langs[best])
+                    sure.append(float(1 / np.exp((s[:k] - s[best]) / s[k + 1]).sum()))
+                else:
+                    named.append(UNKNOWN)
+                    sure.append(0.0)
+        return named, sure
 
 
 def fit_on(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_labelled: int = MAX_LABELLED) -> dict:
@@ -130,9 +195,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     spark_id = docs.schema[id_col]
 
     def run(batches):
-        cache: dict = {}
+        scorer = Scorer(shared.value)
         for b in batches:
-            named, sure = identify(shared.value, b.column(1).to_pylist(), cache)
+            named, sure = scorer.identify(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(named, pa.string()), pa.array(sure, pa.float64()), pa.array([x == UNKNOWN for x in named], pa.bool_())], ["doc_id", "language", "confidence", "rejected"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {spark_id.dataType.simpleString()}, language string, confidence double, rejected boolean")
@@ -145,9 +210,9 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(batches):
-        cache: dict = {}
+        scorer = Scorer(shared.value)
         for b in batches:
-            named, _ = identify(shared.value, b.column(at).to_pylist(), cache)
+            named, _ = scorer.identify(b.column(at).to_pylist())
             yield b.filter(pa.array([x != UNKNOWN for x in named], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
