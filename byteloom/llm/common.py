@@ -51,10 +51,19 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def free(name: str, df: DataFrame) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id isn't in ``gone`` (one column of distinct ids, a table that is cheap to count). Rows without an id stay."""
-    gone = gone.select(F.col(gone.columns[0]).alias("__gone"))
-    return docs.join(small(gone, gone.count(), 16), F.col(id_col) == F.col("__gone"), "left_anti")
+    name = free("gone", docs)
+    gone = gone.select(F.col(gone.columns[0]).alias(name))
+    return docs.join(small(gone, gone.count(), 16), F.col(id_col) == F.col(name), "left_anti")
 
 
 def once(docs: DataFrame, id_col: str, repeated: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,6 +71,7 @@ def once(docs: DataFrame, id_col: str, repeated: DataFrame, keys: list[str]) ->
     n = repeated.count()
     if not n:
         return docs
-    repeated = small(repeated.select(F.col(repeated.columns[0]).alias("__again")), n, 16)
-    on = F.col(id_col) == F.col("__again")
+    name = free("again", docs)
+    repeated = small(repeated.select(F.col(repeated.columns[0]).alias(name)), n, 16)
+    on = F.col(id_col) == F.col(name)
     return docs.join(repeated, on, "left_anti").unionByName(docs.join(repeated, on, "left_semi").dropDuplicates(keys))

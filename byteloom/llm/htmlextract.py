@@ -113,7 +113,7 @@ def containers(root: Node) -> list[tuple[float, int, Node]]:
     """(score, order, node) of the containers that have text of their own.
 
     Runs of text and their paragraphs of 25 characters and more give points to their nearest container, and half of them to the one around that; the share of text in links
-    is taken off, speaking names add a quarter, and silent ones take three quarters."""
+    is taken off, speaking names add a quarter, and silent ones take three quarters. An article or main element starts with a point."""
     own: dict[int, list] = {}
     order = 0
     stack = [(root, None, False, False)]
@@ -125,7 +125,7 @@ def containers(root: Node) -> list[tuple[float, int, Node]]:
             continue
         if node.tag in CONTAINERS and node.tag not in ("span", "li") or node.tag == "#root":
             box = node
-            own[id(node)] = [0.0, 0, 0, order]
+            own[id(node)] = [float(node.tag in ("article", "main")), 0, 0, order]
             seen.append(node)
             order += 1
         link = link or node.tag == "a"

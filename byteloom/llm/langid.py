@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byteloom._ship import by_value
-from byteloom.llm.common import words
 
 by_value(__name__)
 
+LETTERS = re.compile(r"[^\W\d_]+")
+
 #: Labelled documents that the tables are fitted on, about.
 MAX_LABELLED = 4000
 LONGEST = 5
@@ -25,6 +27,11 @@ MIN_KNOWN = 0.2
 UNKNOWN = "und"
 
 
+def words(text: str) -> list[str]:
+    """Runs of letters; digits next to them say nothing about a language."""
+    return LETTERS.findall(text.lower())
+
+
 def grams(word: str, n: int) -> list[str]:
     marked = f"<{word}>"
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
@@ -107,7 +114,7 @@ class Scorer:
             else:
                 h = _hashes(_letters(keys, False), 1) if keys else np.zeros(0, np.uint64)
             order = np.argsort(h)
-            self.tables[n] = h[order], np.array([model[n][g] for g in keys], np.float64).reshape(-1, self.k)[order]
+            self.tables[n] = h[order], np.array([model[n][g] for g in keys], np.float64).reshape(len(keys), self.k)[order]
         self.clear()
 
     def clear(self) -> None:

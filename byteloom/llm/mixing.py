@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byteloom._ship import by_value
-from byteloom.llm.common import small, table
+from byteloom.llm.common import free, small, table
 
 by_value(__name__)
 
@@ -136,9 +136,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
     """``docs`` with each row as often as ``copies`` has it, all columns kept. Rows without an id occur once."""
-    n = copies(docs, id_col, source_col, **how).where("copies <> 1").select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("copies").alias("__n"))
-    n = table(n)
-    n = small(n, n.count(), 48)
-    joined = docs.join(n, (F.col(id_col).cast("bigint") == F.col("__i")) & F.col(source_col).cast("string").eqNullSafe(F.col("__s")), "left")
-    times = F.coalesce(F.col("__n"), F.lit(1))
-    return joined.where(times > 0).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("bigint"), times))).select(*docs.columns)
+    i, s, n, k = (free(x, docs) for x in ("mix_id", "mix_source", "mix_copies", "mix_k"))
+    found = copies(docs, id_col, source_col, **how).where("copies <> 1").select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("copies").alias(n))
+    found = table(found)
+    found = small(found, found.count(), 48)
+    joined = docs.join(found, (F.col(id_col).cast("bigint") == F.col(i)) & F.col(source_col).cast("string").eqNullSafe(F.col(s)), "left")
+    times = F.coalesce(F.col(n), F.lit(1))
+    return joined.where(times > 0).withColumn(k, F.explode(F.sequence(F.lit(1).cast("bigint"), times))).select(*docs.columns)

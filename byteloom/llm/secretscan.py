@@ -179,7 +179,9 @@ def scan(text: str | None, depth: int = 0) -> list[tuple[str, str, int, int, int
             kind = private_key(raw)
             if not kind and depth < 3 and raw.isascii() and (inner := scan(raw.decode(), depth + 1)):
                 kind = inner[0][0]
-            add(kind or ("assigned_secret" if assigned and random_bytes(raw) else None), form, m, 1, len(raw))
+            # a word is valid base64 too, but base64 of random bytes has letters of both cases and something else
+            drawn = random_bytes(raw) and (form == "hex" or all(re.search(c, m.group(1)) for c in ("[a-z]", "[A-Z]", "[0-9+/_-]")))
+            add(kind or ("assigned_secret" if assigned and drawn else None), form, m, 1, len(raw))
     return sorted(found, key=lambda f: f[2])
 
 

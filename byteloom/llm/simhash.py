@@ -20,7 +20,7 @@ from byteloom.llm.common import once, table, without, words
 by_value(__name__)
 
 BITS, RADIUS = 256, 40
-TABLES, KEY_BITS = 20, 16
+TABLES, KEY_BITS = 32, 16
 #: Pairs of query and node that are held at once.
 CHUNK = 1 << 20
 
@@ -202,7 +202,7 @@ def find_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Words are runs of letters, digits and underscores in lower case. Texts that are null or have no words are near copies of nothing. A row without an id is in no group.
     Rows that repeat a doc_id are one document, whose first fingerprint counts, and have one row here. Other columns are ignored; an empty table gives an empty one.
 
-    Two documents within ``radius`` meet in a shard if they agree in all 16 bits of one of 20 keys, 98 in 100 for those that differ in a tenth of all bits."""
+    Two documents within ``radius`` meet in a shard if they agree in all 16 bits of one of 32 keys, 998 in 1000 for those that differ in a tenth of all bits."""
     if radius >= BITS // 2:
         raise ValueError("the radius must be below half the bits")
     marked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).where("doc_id is not null").mapInArrow(_sketch, "doc_id bigint, fp binary")
