@@ -1,0 +1,94 @@
+import random
+
+import numpy as np
+from helpers import documents, empty, odd, table
+
+from byteloom.llm import simhash as S
+
+
+def prints_of(texts):
+    return np.frombuffer(b"".join(S.fingerprints(texts)), np.uint64).reshape(-1, 4)
+
+
+def test_tree_finds_all_within_radius():
+    r = np.random.default_rng(0)
+    base = r.integers(0, 256, (40, 32), dtype=np.uint8)
+    rows = []
+    for k in range(600):
+        bits = np.unpackbits(base[k % 40])
+        flip = r.choice(256, r.integers(0, 40), replace=False)
+        bits[flip] ^= 1
+        rows.append(np.packbits(bits))
+    prints = np.array(rows).view(np.uint64)
+    shard = np.sort(r.integers(0, 7, 600))
+    tree = S.BKForest(shard, prints)
+    d = S.distance(prints[:, None], prints[None])
+    for node in np.flatnonzero(tree.parent >= 0):  # an edge's key is the distance, and nodes below it share it
+        assert d[node, tree.parent[node]] == tree.edge[node]
+    for radius in (0, 3, 25, 60):
+        want = {(i, j) for i in range(600) for j in range(i) if shard[i] == shard[j] and d[i, j] <= radius}
+        found = {(int(a), int(b)) for q, n in tree.within(radius) for a, b in zip(q, n)}
+        assert found == want
+
+
+def test_components():
+    pairs = [(np.array([5, 4]), np.array([4, 1])), (np.array([3]), np.array([2]))]
+    assert S.components(6, pairs).tolist() == [0, 1, 2, 2, 1, 1]
+
+
+def edited(r, text, share):
+    own = text.split()
+    for i in r.sample(range(len(own)), max(1, int(share * len(own)))):
+        own[i] = "".join(r.choice("abcdefgh") for _ in range(7))
+    return " ".join(own)
+
+
+def corpus(seed, n, share):
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(4000)]
+    base = [" ".join(r.choice(vocab) for _ in range(r.randint(60, 400))) for _ in range(n)]
+    return base, [edited(r, b, share) for b in base]
+
+
+def test_near_copies_are_caught_and_others_left(spark):
+    base, near = corpus(2, 150, 0.05)
+    rows = [(k, t, "en", "a") for k, t in enumerate(base)] + [(1000 + k, t, "en", "a") for k, t in enumerate(near)]
+    got = {r.doc_id: r.group_id for r in S.find_near_copies(table(spark, rows)).collect()}
+    assert sum(got[1000 + k] == k for k in range(150)) >= 149
+    assert all(got[k] == k for k in range(150))
+
+
+def test_recall_against_all_pairs(spark):
+    docs = documents(spark).select("doc_id", "text").collect()
+    have = [(r.doc_id, S.fingerprint(r.text)) for r in docs]
+    have = [(i, f) for i, f in have if f]
+    p = np.frombuffer(b"".join(f for _, f in have), np.uint64).reshape(-1, 4)
+    d = S.distance(p[:, None], p[None])
+    ids = np.array([i for i, _ in have])
+    group = {r.doc_id: r.group_id for r in S.find_near_copies(documents(spark)).collect()}
+    a, b = np.nonzero(np.triu(d <= S.RADIUS, 1))
+    same = [group[i] == group[j] for i, j in zip(ids[a].tolist(), ids[b].tolist())]
+    assert len(same) > 20 and np.mean(same) >= 0.95
+    # and no two documents are joined without a chain of pairs
+    root = S.components(len(ids), [(np.maximum(a, b), np.minimum(a, b))])
+    true = {int(i): int(ids[r]) for i, r in zip(ids, root)}
+    assert all(true[i] == true[g] for i, g in group.items() if i in true)
+
+
+def test_chains_are_one_group(spark):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(101, 100)], "a bigint, b bigint")
+    assert {r.node: r.root for r in S.connect(edges).collect()} == {k: 0 for k in range(1, 41)} | {101: 100}
+
+
+def test_odd_rows(spark):
+    got = {r.doc_id: (r.group_id, r.n_docs, r.duplicate) for r in S.find_near_copies(odd(spark)).collect()}
+    assert got[2] == (1, 2, True) and got[1] == (1, 2, False)
+    assert all(got[k] == (k, 1, False) for k in (3, 4, 5, 6, 7, 8, 10, 11))
+    assert len(got) == 11
+    kept = S.drop_near_copies(odd(spark))
+    assert kept.columns == odd(spark).columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, None, None, 6, 7, 8, 9, 10, 11]))
+
+
+def test_empty(spark):
+    assert S.find_near_copies(empty(spark)).collect() == [] and S.drop_near_copies(empty(spark)).collect() == []
