@@ -44,12 +44,10 @@ def byte_at(b: Column, i: Column | int) -> Column:
 
 
 def little_endian(b: Column, i: Column | int, width: int) -> Column:
-    """Unsigned little-endian bits as bigint, unchecked."""
-    own = chars(part(b, i, width))
-    out = F.ascii(F.substring(own, 1, 1)).cast("bigint")
-    for k in range(1, width):
-        out = out.bitwiseOR(F.shiftleft(F.ascii(F.substring(own, k + 1, 1)).cast("bigint"), 8 * k))
-    return out
+    """Little-endian bits as bigint, unchecked; unsigned, but for a width of 8."""
+    if width == 1:
+        return byte_at(b, i).cast("bigint")
+    return F.conv(F.hex(unchars(F.reverse(chars(part(b, i, width))))), 16, -10).cast("bigint")
 
 
 def signed(x: Column, width: int) -> Column:

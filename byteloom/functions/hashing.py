@@ -294,13 +294,25 @@ def spooky_numpy(data: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
+#: The last, longest values are hashed one by one when fewer are left.
+FEW = 40
+
+
 def fnv_numpy(data: np.ndarray, off: np.ndarray, bits: int) -> np.ndarray:
     """Each byte is sign-extended before it is mixed in, so values differ from the textbook's for bytes above 127."""
     kind, basis, prime = (np.uint32, 0x811C9DC5, 0x01000193) if bits == 32 else (U, 0xCBF29CE484222325, 0x100000001B3)
+    mask = (1 << bits) - 1
     h = np.full(len(off) - 1, basis, kind)
     wide = data.view(np.int8).astype(np.int32 if bits == 32 else np.int64).view(kind)
     with np.errstate(over="ignore"):
         for step, rows in longest_first(np.diff(off)):
+            if len(rows) < FEW:
+                for i in rows.tolist():
+                    x = int(h[i])
+                    for v in wide[off[i] + step : off[i + 1]].tolist():
+                        x = (x ^ v) * prime & mask
+                    h[i] = x
+                break
             h[rows] = (h[rows] ^ wide[off[rows] + step]) * kind(prime)
     return h
 

@@ -63,16 +63,20 @@ def _substring(s: ColumnOrName, start: Column | int, n: Column | int):
 substring, try_substring = both(_substring, "substring")
 
 
+#: Stands for each byte that starts a token, to find the n-th.
+_START = "\u0100"
+
+
 def offset_of_code_point_bytes(b: ColumnOrName, n: Column | int, position: Column | int = 0) -> Column:
     """The byte place of the ``n``-th code point from byte ``position`` on, by counting bytes that aren't continuation bytes; for ``n`` = 0 the position itself. -1 if there is none."""
     b, n, position = col(b), num(n), num(position)
     tail = chars(part(b, position, F.octet_length(b) - position))
-    # what goes before the n-th start: stray continuation bytes, then n starts with theirs
-    pattern = F.concat(F.lit(f"(?s)^({_C}*(?:[^\u0080-¿]{_C}*){{"), n.cast("string"), F.lit("})[^\u0080-¿]"))
-    lead = F.call_function("regexp_extract", tail, pattern, F.lit(1))
     size = F.char_length(tail)
-    found = F.when(size <= n, -1).when(n == 0, position).when(F.regexp_count(tail, F.lit("[^\u0080-¿]")) <= n, -1).otherwise(position + F.char_length(lead))
-    return strict((position >= 0) & (position <= F.octet_length(b)) & (n >= 0), found, OUT_OF_BOUNDS)
+    lead = F.char_length(F.call_function("substring_index", F.regexp_replace(tail, "[^\u0080-¿]", _START), F.lit(_START), n.cast("int") + 1))
+    found = F.when(size <= n, -1).when(n == 0, position).when(lead >= size, -1).otherwise(position + lead)
+    whole = F.when(n < F.char_length(b.cast("string")), F.octet_length(F.substring(b.cast("string"), F.lit(1), n.cast("int")))).otherwise(-1)
+    inside = (position >= 0) & (position <= F.octet_length(b)) & (n >= 0)
+    return strict(inside, F.when((position == 0) & is_valid(b), whole).otherwise(found), OUT_OF_BOUNDS)
 
 
 def offset_of_code_point(s: ColumnOrName, n: Column | int) -> Column:
@@ -102,7 +106,11 @@ def _substring_bytes(b: ColumnOrName, start: Column | int, n: Column | int):
         .when(~legal, F.concat(F.lit("Illegal start 0x"), F.hex(lead.cast("bigint")), F.lit(" of code point"))).otherwise(NOT_WELL_FORMED)
     )
     ok = F.when(size.isNull(), F.lit(None).cast("boolean")).when((start < 0) | (n < 0) | (first < 0), False).when(n == 0, True).otherwise((last >= 0) & legal & (end <= size))
-    return ok, F.when(n == 0, F.lit(b"")).otherwise(part(b, first, end - first)), message
+    text = b.cast("string")
+    count = F.char_length(text)
+    fits = F.when(is_valid(b), (start >= 0) & (n >= 0) & (start < count) & (start.cast("bigint") + n <= count)).otherwise(ok)
+    value = F.when(is_valid(b), F.substring(text, start + 1, n).cast("binary")).when(n == 0, F.lit(b"")).otherwise(part(b, first, end - first))
+    return fits, value, message
 
 
 substring_bytes, try_substring_bytes = both(_substring_bytes, "substring_bytes")
@@ -182,12 +190,20 @@ def _byte_class(what: str) -> str:
 def left_trim_bytes(b: ColumnOrName, what: str = WHITESPACE) -> Column:
     """Trimming stops at malformed bytes."""
     b = col(b)
+    return F.when(is_valid(b), left_trim(b.cast("string"), what).cast("binary")).otherwise(_left_trim_malformed(b, what))
+
+
+def _left_trim_malformed(b: Column, what: str) -> Column:
     return unchars(F.regexp_replace(chars(b), f"^{_byte_class(what)}+", ""))
 
 
 def right_trim_bytes(b: ColumnOrName, what: str = WHITESPACE) -> Column:
     """Trimming from the end stops at a code point that isn't to go, or that isn't whole."""
     b = col(b)
+    return F.when(is_valid(b), right_trim(b.cast("string"), what).cast("binary")).otherwise(_right_trim_malformed(b, what))
+
+
+def _right_trim_malformed(b: Column, what: str) -> Column:
     return unchars(F.regexp_replace(chars(b), f"(?<!{_byte_class(what)}){_byte_class(what)}++\\z|^{_byte_class(what)}++\\z", ""))
 
 

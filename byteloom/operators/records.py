@@ -4,12 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from byteloom.functions import binary as B
+from byteloom.functions._arrow import binary, spans
 from byteloom.functions.errors import ColumnOrName, col, num, strict
-from byteloom.operators.layout import BULK, END_OF_STREAM, Layout
+from byteloom.operators.layout import END_OF_STREAM, Layout, from_arrow, to_arrow
+
+
+def _decoder(layout: Layout):
+    """All fields in one pass over the records' bytes."""
+
+    @F.arrow_udf(layout.schema)
+    def run(a: pa.Array) -> pa.Array:
+        data, off = spans(a.fill_null(b"\0" * layout.width) if a.null_count else a)
+        batch = to_arrow(np.frombuffer(data[off[0] : off[-1]].tobytes(), layout.dtype), layout)
+        return pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
+
+    return run
+
+
+def _encoder(layout: Layout):
+    @F.arrow_udf(T.BinaryType())
+    def run(a: pa.Array) -> pa.Array:
+        raw = np.zeros((len(a), layout.width), np.uint8)
+        there = np.asarray(a.is_valid())
+        kept = a.filter(a.is_valid()) if a.null_count else a
+        raw[there] = from_arrow(pa.RecordBatch.from_arrays(kept.flatten(), [f.name for f in kept.type]), layout).view(np.uint8).reshape(-1, layout.width)
+        return binary(raw.reshape(-1), np.arange(len(a) + 1) * layout.width, a)
+
+    return run
 
 
 class RecordLayout(Layout):
@@ -17,44 +45,23 @@ class RecordLayout(Layout):
 
     def decode(self, b: ColumnOrName, offset: Column | int = 0) -> list[Column]:
         """A column for each field of the record at byte ``offset``; a record that isn't whole is an error."""
-        b, at, out = col(b), num(offset), []
+        b, at = col(b), num(offset)
         whole = strict((at >= 0) & (at.cast("bigint") + self.width <= F.octet_length(b)), B.part(b, at, self.width), END_OF_STREAM)
-        place = 0
-        for f in self.fields:
-            if f.kind == "bytes":
-                out.append(B.part(whole, place, f.count).alias(f.name))
-            elif f.count is not None and f.kind in BULK:
-                out.append(getattr(B, "get_" + BULK[f.kind])(whole, place, f.count).alias(f.name))
-            elif f.kind == "boolean":
-                out.append((B.byte_at(whole, place) != 0).alias(f.name))
-            elif f.kind in ("float", "double"):
-                out.append(getattr(B, "get_" + f.kind)(whole, place).alias(f.name))
-            elif f.kind != "skip":
-                size, sign, kind = B.INTEGERS[f.kind]
-                x = B.little_endian(whole, place, size)
-                out.append((B.signed(x, size) if sign else x).cast(kind).alias(f.name))
-            place += f.width
-        return out
+        record = _decoder(Layout(self.fields))(whole)
+        return [F.when(b.isNotNull(), record[f.name]).alias(f.name) for f in self.fields if f.kind != "skip"]
 
     def encode(self, columns: dict[str, ColumnOrName] | None = None) -> Column:
         """The record of a row's columns, by name or as given. Integers are cut to their width; NULL in any makes NULL; arrays and bytes of another length are an error."""
-        parts = []
-        for f in self.fields:
-            if f.kind == "skip":
-                parts.append(F.lit(b"\0" * f.width))
-                continue
-            v = col((columns or {}).get(f.name, f.name))
+        own = [col((columns or {}).get(f.name, f.name)) for f in self.fields if f.kind != "skip"]
+        there = F.lit(True)
+        for f, v in zip((f for f in self.fields if f.kind != "skip"), own):
             if f.kind == "bytes":
-                parts.append(strict(F.octet_length(v) == f.count, v, f"{f.name} must have {f.count} bytes"))
+                v = strict(F.octet_length(v) == f.count, v, f"{f.name} must have {f.count} bytes")
             elif f.count is not None:
-                parts.append(strict(F.size(v) == f.count, B.encode_array(v, BULK[f.kind]), f"{f.name} must have {f.count} values"))
-            elif f.kind == "boolean":
-                parts.append(B.encode_boolean(v))
-            elif f.kind in ("float", "double"):
-                parts.append(getattr(B, "encode_" + f.kind)(v))
-            else:
-                parts.append(B.encode_integer(v, f.width))
-        return F.concat(*parts)
+                v = strict(F.size(v) == f.count, v, f"{f.name} must have {f.count} values")
+            there = there & v.isNotNull()
+        typed = [v.cast(f.type if f.kind in ("bytes", "boolean", "float", "double") or f.count is not None else "bigint").alias(f.name) for f, v in zip((f for f in self.fields if f.kind != "skip"), own)]
+        return F.when(there, _encoder(Layout(self.fields))(F.when(there, F.struct(*typed))))
 
 
 def explode_records(df: DataFrame, b: str, layout: RecordLayout, keep: Sequence[str] = ()) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from byteloom._ship import by_value
-from byteloom.operators.layout import END_OF_STREAM, Layout
+from byteloom.operators.layout import END_OF_STREAM, Layout, from_arrow, to_arrow
 
 by_value(__name__)
 
@@ -67,49 +67,6 @@ class ChunkedReader:
         return self.data[at - self.start : at - self.start + n]
 
 
-def to_arrow(records: np.ndarray, layout: Layout) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrays, names = [], []
-    for f, name in zip(layout.fields, records.dtype.names):
-        if f.kind == "skip":
-            continue
-        own = np.ascontiguousarray(records[name])
-        if f.kind == "bytes":
-            arrays.append(pa.array([x.tobytes() for x in own], pa.binary()))
-        elif f.count is not None:
-            arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(len(records) + 1, dtype=np.int32) * f.count), pa.array(own.reshape(-1), to_arrow_type(f.type.elementType))))
-        else:
-            own = own.view(np.uint8) != 0 if f.kind == "boolean" else own
-            arrays.append(pa.array(own).cast(to_arrow_type(f.type)))
-        names.append(f.name)
-    return pa.RecordBatch.from_arrays(arrays, names)
-
-
-def from_arrow(batch: pa.RecordBatch, layout: Layout) -> np.ndarray:
-    out = np.zeros(batch.num_rows, layout.dtype)
-    for f, name in zip(layout.fields, out.dtype.names):
-        if f.kind == "skip":
-            continue
-        own = batch.column(batch.schema.get_field_index(f.name))
-        if own.null_count:
-            raise ValueError(f"{f.name} is NULL, which a record can't hold")
-        if f.kind == "bytes":
-            values = own.to_pylist()
-            if any(len(v) != f.count for v in values):
-                raise ValueError(f"{f.name} must have {f.count} bytes")
-            out[name] = np.frombuffer(b"".join(values), f"V{f.count}")
-        elif f.count is not None:
-            if any(n != f.count for n in own.value_lengths().to_pylist()) or own.flatten().null_count:
-                raise ValueError(f"{f.name} must have {f.count} values")
-            out[name] = np.asarray(own.flatten()).reshape(-1, f.count)
-        else:
-            values = np.asarray(own.to_numpy(zero_copy_only=False))
-            with np.errstate(over="ignore"):
-                out[name] = values.astype(np.int64).astype(out.dtype[name]) if f.kind not in ("boolean", "float", "double") else values
-    return out
-
-
 class RecordReader(DataSourceReader):
     def __init__(self, layout: Layout, path: str, split: int):
         self.layout, self.path, self.split = layout, path, max(1, split // layout.width) * layout.width
