@@ -91,26 +91,42 @@ def length_of_start_byte(v: Column) -> Column:
     return strict(ok, F.when(v < 0x80, 1).when(v < 0xE0, 2).when(v < 0xF0, 3).otherwise(4), F.concat(F.lit("Illegal start 0x"), F.hex(v.cast("bigint")), F.lit(" of code point")))
 
 
+def _bind(x: Column, f) -> Column:
+    """``f`` of ``x``, which is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _substring_malformed(b: Column, start: Column, n: Column) -> Column:
+    """(error, bytes) of the code points, trusting lead bytes."""
+    missing = lambda k: F.concat(F.lit("UTF-8 does not contain "), k.cast("string"), F.lit(" code points"))
+    out = lambda error, value: F.struct(error.cast("string").alias("error"), value.cast("binary").alias("bytes"))
+    nothing = F.lit(None)
+
+    def cut(first: Column, last: Column) -> Column:
+        lead = byte_at(b, F.greatest(last, F.lit(0)))
+        legal = (lead < 0x80) | ((lead >= 0xC0) & (lead < 0xF8))
+        end = last + F.when(lead < 0x80, 1).when(lead < 0xE0, 2).when(lead < 0xF0, 3).otherwise(4)
+        illegal = F.concat(F.lit("Illegal start 0x"), F.hex(lead.cast("bigint")), F.lit(" of code point"))
+        return F.when(last < 0, out(missing(start + n), nothing)).when(~legal, out(illegal, nothing)).when(end > F.octet_length(b), out(F.lit(NOT_WELL_FORMED), nothing)).otherwise(out(nothing, part(b, first, end - first)))
+
+    def from_first(first: Column) -> Column:
+        last = F.when(first >= 0, offset_of_code_point_bytes(b, F.greatest(n - 1, F.lit(0)), F.greatest(first, F.lit(0)))).otherwise(-1)
+        return F.when(first < 0, out(missing(start), nothing)).when(n == 0, out(nothing, F.lit(b""))).otherwise(_bind(last, lambda x: cut(first, x)))
+
+    return _bind(offset_of_code_point_bytes(b, F.greatest(start, F.lit(0))), from_first)
+
+
 def _substring_bytes(b: ColumnOrName, start: Column | int, n: Column | int):
     """``substring`` of bytes, trusting lead bytes: the last code point takes what its lead byte announces, which must be there."""
     b, start, n = col(b), num(start), num(n)
-    size, safe_start, safe_n = F.octet_length(b), F.greatest(start, F.lit(0)), F.greatest(n, F.lit(0))
-    first = offset_of_code_point_bytes(b, safe_start)
-    last = F.when((first >= 0) & (n > 0), offset_of_code_point_bytes(b, safe_n - 1, F.greatest(first, F.lit(0))))
-    lead = byte_at(b, F.greatest(last, F.lit(0)))
-    legal = (lead < 0x80) | ((lead >= 0xC0) & (lead < 0xF8))
-    end = last + F.when(lead < 0x80, 1).when(lead < 0xE0, 2).when(lead < 0xF0, 3).otherwise(4)
-    message = (
-        F.when(start < 0, "codePointStart is negative").when(n < 0, "codePointLength is negative").when(first < 0, F.concat(F.lit("UTF-8 does not contain "), start.cast("string"), F.lit(" code points")))
-        .when(last < 0, F.concat(F.lit("UTF-8 does not contain "), (start + n).cast("string"), F.lit(" code points")))
-        .when(~legal, F.concat(F.lit("Illegal start 0x"), F.hex(lead.cast("bigint")), F.lit(" of code point"))).otherwise(NOT_WELL_FORMED)
-    )
-    ok = F.when(size.isNull(), F.lit(None).cast("boolean")).when((start < 0) | (n < 0) | (first < 0), False).when(n == 0, True).otherwise((last >= 0) & legal & (end <= size))
     text = b.cast("string")
+    _, value, message = _substring(text, start, n)
     count = F.char_length(text)
-    fits = F.when(is_valid(b), (start >= 0) & (n >= 0) & (start < count) & (start.cast("bigint") + n <= count)).otherwise(ok)
-    value = F.when(is_valid(b), F.substring(text, start + 1, n).cast("binary")).when(n == 0, F.lit(b"")).otherwise(part(b, first, end - first))
-    return fits, value, message
+    fits = (start >= 0) & (n >= 0) & (start < count) & (start.cast("bigint") + n <= count)
+    found = _substring_malformed(b, start, n)
+    whole = is_valid(b)
+    ok = F.when(b.isNull() | start.isNull() | n.isNull(), F.lit(None).cast("boolean")).when(whole | (start < 0) | (n < 0), fits).otherwise(found["error"].isNull())
+    return ok, F.when(whole, value.cast("binary")).otherwise(found["bytes"]), F.when(whole | (start < 0) | (n < 0), message).otherwise(found["error"])
 
 
 substring_bytes, try_substring_bytes = both(_substring_bytes, "substring_bytes")
