@@ -8,26 +8,35 @@ from byteloom.llm import lm
 from byteloom.llm.common import words
 
 
-def brute(rows):
-    """Bigram scores from counts in dictionaries, and the weights from expectation-maximisation over lists."""
+def brute(rows, order=2):
+    """Scores from counts in dictionaries, and the weights from expectation-maximisation over lists."""
     seqs = [(i, [*words(t or ""), None]) for i, t in rows]
     held = [lm.held_out(i) for i, _ in seqs]
-    uni, bi, ctx = Counter(), Counter(), Counter()
+    seen, ctx = Counter(), Counter()
+
+    def grams(s):
+        """Of each place the n-grams of all orders that end there."""
+        padded = ["<"] * (order - 1) + s
+        return [[tuple(padded[k + order - n : k + order]) for n in range(1, order + 1)] for k in range(len(s))]
+
     for (_, s), h in zip(seqs, held):
         if not h:
-            for a, b in zip(["<", *s], s):
-                uni[b] += 1
-                bi[a, b] += 1
-                ctx[a] += 1
-    n, v = sum(uni.values()), len(uni)
+            for own in grams(s):
+                for g in own:
+                    seen[g] += 1
+                    ctx[g[:-1], len(g)] += 1
+    v = sum(len(g) == 1 for g in seen)
 
-    def parts(a, b, h):
+    def parts(own, h):
         o = 0 if h else 1
-        c = max(ctx[a] - o, 0)
-        return min(int(math.log2(1 + c)), lm.CLASSES - 1), [max(bi[a, b] - o, 0) / c if c else 0.0, max(uni[b] - o, 0) / (n - o) if n - o > 0 else 0.0, 1 / (v + 1)]
-
-    places = [parts(a, b, True) for (_, s), h in zip(seqs, held) if h for a, b in zip(["<", *s], s)]
-    weights = np.full((lm.CLASSES, 3), 1 / 3)
+        p, c = [], 0
+        for g in own:
+            c = max(ctx[g[:-1], len(g)] - o, 0)
+            p.append(max(seen[g] - o, 0) / c if c else 0.0)
+        return min(int(math.log2(1 + c)), lm.CLASSES - 1), [*p[::-1], 1 / (v + 1)]
+
+    places = [parts(own, True) for (_, s), h in zip(seqs, held) if h for own in grams(s)]
+    weights = np.full((lm.CLASSES, order + 1), 1 / (order + 1))
     for _ in range(lm.ROUNDS):
         sums = np.zeros_like(weights)
         for k, p in places:
@@ -40,14 +49,14 @@ def brute(rows):
             break
     out = []
     for (i, s), h in zip(seqs, held):
-        total = sum(math.log2(np.dot(weights[k], p)) for k, p in (parts(a, b, h) for a, b in zip(["<", *s], s)))
+        total = sum(math.log2(np.dot(weights[k], p)) for k, p in (parts(own, h) for own in grams(s)))
         out.append((i, len(s) - 1, total, h))
     return out
 
 
-def same(df, rows):
+def same(df, rows, order=2):
     got = sorted(((r.doc_id, r.n_words, r.log2_prob, r.held_out) for r in df.collect()), key=str)
-    want = sorted(brute(rows), key=str)
+    want = sorted(brute(rows, order), key=str)
     assert [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in want]
     assert np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-6)
 
@@ -59,6 +68,12 @@ def test_against_brute_force(spark):
     same(lm.score(docs.repartition(3), chunk_tokens=2000), rows)
 
 
+def test_trigrams(spark, monkeypatch):
+    monkeypatch.setattr(lm, "ORDER", 3)
+    docs = documents(spark).where("doc_id < 60")
+    same(lm.score(docs, chunk_tokens=3000), [tuple(r) for r in docs.select("doc_id", "text").collect()], 3)
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     same(lm.score(docs), [tuple(r) for r in docs.select("doc_id", "text").collect()])
