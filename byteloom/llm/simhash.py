@@ -92,6 +92,16 @@ class BKForest:
 
     def within(self, radius: int):
         """Yields arrays of pairs (query, node), query > node, at most ``radius`` apart, for all members of all trees."""
+        yield from self._walk(radius, False)
+
+    def links(self, radius: int):
+        """Some of the pairs of ``within`` that connect the same members.
+
+        A query at distance d from a node is within ``radius`` of all that hang below an edge up to ``radius`` - d; as it's linked to the node, and so are they, it needn't
+        go there. So members of a dense group, thousands of near copies, aren't all compared with each other."""
+        yield from self._walk(radius, True)
+
+    def _walk(self, radius: int, spare: bool):
         n = len(self.prints)
         stack = [(np.arange(i, min(n, i + CHUNK)), self.root_of[i : i + CHUNK]) for i in range(0, n, CHUNK)]
         while stack:
@@ -100,9 +110,12 @@ class BKForest:
             hit = (d <= radius) & (q > node)
             if hit.any():
                 yield q[hit], node[hit]
-            lo = np.searchsorted(self.keys, node * (BITS + 1) + np.maximum(d - radius, 0), "left")
+            least = np.maximum(d - radius, 0)
+            if spare:
+                least = np.maximum(least, np.where(d <= radius, radius - d + 1, 0))
+            lo = np.searchsorted(self.keys, node * (BITS + 1) + least, "left")
             hi = np.searchsorted(self.keys, node * (BITS + 1) + np.minimum(d + radius, BITS), "right")
-            k = hi - lo
+            k = np.maximum(hi - lo, 0)
             go = k > 0
             q, lo, k = q[go], lo[go], k[go]
             end = np.cumsum(k)
@@ -172,7 +185,7 @@ def _edges_within(radius: int):
         prints = np.frombuffer(b"".join(data.column(2).to_pylist()), np.uint64).reshape(-1, BITS // 64)
         order = np.lexsort((node, shard))
         shard, node, prints = shard[order], node[order], prints[order]
-        root = components(len(node), BKForest(shard, prints).within(radius))
+        root = components(len(node), BKForest(shard, prints).links(radius))
         far = np.flatnonzero(root != np.arange(len(node)))
         pairs = np.unique(np.stack([node[far], node[root[far]]], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])

@@ -29,6 +29,17 @@ def test_tree_finds_all_within_radius():
         want = {(i, j) for i in range(600) for j in range(i) if shard[i] == shard[j] and d[i, j] <= radius}
         found = {(int(a), int(b)) for q, n in tree.within(radius) for a, b in zip(q, n)}
         assert found == want
+        assert (S.components(600, tree.links(radius)) == S.components(600, tree.within(radius))).all()
+
+
+def test_dense_groups_are_not_compared_pair_by_pair():
+    r = np.random.default_rng(3)
+    bits = np.repeat(np.unpackbits(r.integers(0, 256, (1, 32), dtype=np.uint8)[0])[None], 20_000, axis=0)
+    for row in bits:
+        row[r.choice(256, 6, replace=False)] ^= 1
+    tree = S.BKForest(np.zeros(20_000, np.int64), np.packbits(bits, axis=1).view(np.uint64))
+    links = list(tree.links(S.RADIUS))
+    assert sum(len(a) for a, _ in links) < 40 * 20_000 and not S.components(20_000, links).any()
 
 
 def test_components():
