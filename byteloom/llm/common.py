@@ -42,10 +42,20 @@ def table(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage is cut, it survives the loss of executors and isn't computed twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/byteloom-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_byteloom_tables", []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes what ``table`` wrote in this session; for when no result that was made with it is read any more."""
+    paths = spark.sparkContext.__dict__.pop("_byteloom_tables", [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint for a side of ``rows`` counted rows, where its size permits; else Spark joins by its own choice."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

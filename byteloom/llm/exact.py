@@ -6,6 +6,8 @@ filters merge by merging their sorted remainders; nothing is lost. A repeated fi
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +18,8 @@ from byteloom.llm.common import once, table, without
 
 by_value(__name__)
 
-#: A filter is cut into 2 ** SEGMENT_BITS ranges of quotients, which are merged apart from each other.
-SEGMENT_BITS = 8
+#: A filter is cut into ranges of quotients, of about so many fingerprints of the whole corpus each, which are merged apart from each other.
+SEGMENT = 1 << 18
 DIGIT = np.uint64(32)
 
 
@@ -112,44 +114,53 @@ class CountingQuotientFilter:
         return cls(bits, slots, *maps)
 
 
-def _segments(batches):
+def _segments(bits: int):
     """The partition's filter, cut by the fingerprints' first bits."""
-    found = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
-    prints = np.concatenate(found).astype(np.int64).view(np.uint64) if found else np.zeros(0, np.uint64)
-    segment = (prints >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
-    order = np.argsort(segment, kind="stable")
-    prints, segment = prints[order] << np.uint64(SEGMENT_BITS), segment[order]
-    cuts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(segment) else []
-    if len(cuts):
-        raw = [CountingQuotientFilter.of(p).to_bytes() for p in np.split(prints, cuts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(segment[cuts], pa.int32()), pa.array(raw, pa.binary())], ["segment", "filter"])
-
-
-def _merged(batches):
+
+    def run(batches):
+        found = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
+        prints = np.concatenate(found).astype(np.int64).view(np.uint64) if found else np.zeros(0, np.uint64)
+        segment = (prints >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(segment, kind="stable")
+        prints, segment = prints[order] << np.uint64(bits), segment[order]
+        cuts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(segment) else []
+        if len(cuts):
+            raw = [CountingQuotientFilter.of(p).to_bytes() for p in np.split(prints, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(segment[cuts], pa.int32()), pa.array(raw, pa.binary())], ["segment", "filter"])
+
+    return run
+
+
+def _merged(bits: int):
     """Fingerprints that occur more than once, from each segment's filters, merged."""
-    parts: dict[int, CountingQuotientFilter] = {}
-    waiting: dict[int, list] = {}
 
-    def settle(s):
-        runs = [f.items() for f in waiting.pop(s)]
-        parts[s] = CountingQuotientFilter.of(np.concatenate([p for p, _ in runs]), np.concatenate([n for _, n in runs]))
+    def run(batches):
+        parts: dict[int, CountingQuotientFilter] = {}
+        waiting: dict[int, list] = {}
+
+        def settle(s):
+            runs = [f.items() for f in waiting.pop(s)]
+            parts[s] = CountingQuotientFilter.of(np.concatenate([p for p, _ in runs]), np.concatenate([n for _, n in runs]))
+
+        for b in batches:
+            for s, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                waiting.setdefault(s, [parts.pop(s)] if s in parts else []).append(CountingQuotientFilter.from_bytes(raw))
+                if len(waiting[s]) >= 64:
+                    settle(s)
+        for s in list(waiting):
+            settle(s)
+        for s, f in parts.items():
+            prints, n = f.items()
+            prints = (prints[n > 1] >> np.uint64(bits)) | (np.uint64(s) << np.uint64(64 - bits))
+            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n[n > 1])], ["fp", "n"])
 
-    for b in batches:
-        for s, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            waiting.setdefault(s, [parts.pop(s)] if s in parts else []).append(CountingQuotientFilter.from_bytes(raw))
-            if len(waiting[s]) >= 64:
-                settle(s)
-    for s in list(waiting):
-        settle(s)
-    for s, f in parts.items():
-        prints, n = f.items()
-        prints = (prints[n > 1] >> np.uint64(SEGMENT_BITS)) | (np.uint64(s) << np.uint64(64 - SEGMENT_BITS))
-        yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n[n > 1])], ["fp", "n"])
+    return run
 
 
-def repeated_prints(prints: DataFrame) -> DataFrame:
-    """(fp, n) of the fingerprints that the single bigint column of ``prints`` has more than once."""
-    return prints.mapInArrow(_segments, "segment int, filter binary").repartition("segment").mapInArrow(_merged, "fp bigint, n bigint")
+def repeated_prints(prints: DataFrame, n: int) -> DataFrame:
+    """(fp, n) of the fingerprints that the single bigint column of ``prints``, of about ``n`` rows, has more than once."""
+    bits = max(1, math.ceil(math.log2(max(1, n / SEGMENT))))
+    return prints.mapInArrow(_segments(bits), "segment int, filter binary").repartition("segment").mapInArrow(_merged(bits), "fp bigint, n bigint")
 
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", _print=None) -> DataFrame:
@@ -162,7 +173,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its own group. ``_print`` replaces the fingerprint, for tests of such collisions."""
     fp = (_print or F.xxhash64)(F.col("t"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).withColumn("fp", F.when(F.col("t").isNotNull(), fp))
-    again = table(repeated_prints(rows.where("fp is not null").select("fp"))).select("fp")
+    again = table(repeated_prints(rows.where("fp is not null").select("fp"), docs.count())).select("fp")
     by_text = rows.join(again, "fp").groupBy("fp", "t").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n_copies"))
     groups = table(by_text.withColumn("h", F.sha2("t", 256)).drop("t"))
     texts = groups.groupBy("fp").agg(F.count("*").alias("k"), F.first("keep_id").alias("keep_id"), F.first("n_copies").alias("n_copies"))
