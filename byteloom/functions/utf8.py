@@ -22,6 +22,11 @@ NOT_WELL_FORMED = "UTF-8 is not well formed"
 TRUNCATED = "UTF-8 sequence truncated"
 
 
+def _bind(x: Column, f) -> Column:
+    """``f`` of ``x``, which is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def tokens(b: ColumnOrName) -> Column:
     """The safe tokens, as strings of one character for each byte."""
     return F.regexp_extract_all(chars(b), F.lit(TOKEN), F.lit(0))
@@ -85,15 +90,14 @@ def offset_of_code_point(s: ColumnOrName, n: Column | int) -> Column:
     return F.when(s.isNotNull(), F.when((n >= 0) & (n < F.char_length(s)), F.octet_length(F.substring(s, F.lit(1), n))).otherwise(-1))
 
 
+def _illegal(lead: Column) -> Column:
+    return F.concat(F.lit("Illegal start 0x"), F.hex(lead.cast("bigint")), F.lit(" of code point"))
+
+
 def length_of_start_byte(v: Column) -> Column:
     """Bytes that an unsigned lead byte announces; what can't lead is an error."""
     ok = ((v >= 0) & (v < 0x80)) | ((v >= 0xC0) & (v < 0xF8))
-    return strict(ok, F.when(v < 0x80, 1).when(v < 0xE0, 2).when(v < 0xF0, 3).otherwise(4), F.concat(F.lit("Illegal start 0x"), F.hex(v.cast("bigint")), F.lit(" of code point")))
-
-
-def _bind(x: Column, f) -> Column:
-    """``f`` of ``x``, which is computed once."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
+    return strict(ok, F.when(v < 0x80, 1).when(v < 0xE0, 2).when(v < 0xF0, 3).otherwise(4), _illegal(v))
 
 
 def _substring_malformed(b: Column, start: Column, n: Column) -> Column:
@@ -106,7 +110,7 @@ def _substring_malformed(b: Column, start: Column, n: Column) -> Column:
         lead = byte_at(b, F.greatest(last, F.lit(0)))
         legal = (lead < 0x80) | ((lead >= 0xC0) & (lead < 0xF8))
         end = last + F.when(lead < 0x80, 1).when(lead < 0xE0, 2).when(lead < 0xF0, 3).otherwise(4)
-        illegal = F.concat(F.lit("Illegal start 0x"), F.hex(lead.cast("bigint")), F.lit(" of code point"))
+        illegal = _illegal(lead)
         return F.when(last < 0, out(missing(start + n), nothing)).when(~legal, out(illegal, nothing)).when(end > F.octet_length(b), out(F.lit(NOT_WELL_FORMED), nothing)).otherwise(out(nothing, part(b, first, end - first)))
 
     def from_first(first: Column) -> Column:
@@ -252,8 +256,8 @@ def _decode_token(t: Column) -> Column:
 def _try_code_point(b: ColumnOrName, i: Column | int):
     """The code point at byte ``i``, or minus the number of bytes of the malformed token there."""
     b, i = col(b), num(i)
-    t = _first_token(b, i)
-    return within(i, 1, F.octet_length(b)), F.when(t.rlike(VALID), _decode_token(t)).otherwise(-F.char_length(t)), OUT_OF_BOUNDS
+    value = _bind(_first_token(b, i), lambda t: F.when(t.rlike(VALID), _decode_token(t)).otherwise(-F.char_length(t)))
+    return within(i, 1, F.octet_length(b)), value, OUT_OF_BOUNDS
 
 
 code_point_or_length, try_code_point_or_length = both(_try_code_point, "code_point_or_length")
@@ -262,13 +266,16 @@ code_point_or_length, try_code_point_or_length = both(_try_code_point, "code_poi
 def _code_point_at(b: ColumnOrName, i: Column | int):
     """The code point at byte ``i``, as its lead byte announces; what follows isn't looked at."""
     b, i = col(b), num(i)
-    lead = byte_at(b, i)
-    size = F.when(lead < 0x80, 1).when(lead < 0xE0, 2).when(lead < 0xF0, 3).otherwise(4)
     inside = within(i, 1, F.octet_length(b))
-    legal = (lead < 0x80) | ((lead >= 0xC0) & (lead < 0xF8))
-    message = F.when(~inside, OUT_OF_BOUNDS).when(~legal, F.concat(F.lit("Illegal start 0x"), F.hex(lead.cast("bigint")), F.lit(" of code point"))).otherwise(TRUNCATED)
-    ok = F.when(inside.isNull(), F.lit(None).cast("boolean")).when(~inside, False).otherwise(legal & (i + size <= F.octet_length(b)))
-    return ok, _decode_token(chars(part(b, i, 4))), message
+
+    def whole(lead: Column) -> Column:
+        size = F.when(lead < 0x80, 1).when(lead < 0xE0, 2).when(lead < 0xF0, 3).otherwise(4)
+        return ((lead < 0x80) | ((lead >= 0xC0) & (lead < 0xF8))) & (i + size <= F.octet_length(b))
+
+    illegal = lambda lead: F.when((lead >= 0xC0) & (lead < 0xF8), TRUNCATED).otherwise(_illegal(lead))
+    message = F.when(~inside, OUT_OF_BOUNDS).otherwise(_bind(byte_at(b, i), illegal))
+    ok = F.when(inside.isNull(), F.lit(None).cast("boolean")).when(~inside, False).otherwise(_bind(byte_at(b, i), whole))
+    return ok, _bind(chars(part(b, i, 4)), _decode_token), message
 
 
 code_point_at, try_code_point_at = both(_code_point_at, "code_point_at")
@@ -308,13 +315,17 @@ def _code_point_before(b: ColumnOrName, i: Column | int):
     inside = (i >= 1) & (i <= F.octet_length(b))
     tail = chars(part(b, F.greatest(i - 4, F.lit(0)), F.least(i, F.lit(4))))
     back = F.regexp_extract(tail, f"(?s)[^\u0080-¿]{_C}*\\z", 0)
-    n, lead = F.char_length(back), F.ascii(back)
-    need = F.when(lead < 0x80, 1).when(lead < 0xE0, 2).when(lead < 0xF0, 3).otherwise(4)
-    # the lead byte may announce more than lies before i, and reads on beyond it
-    whole = F.when(n == 1, True).when(n == 0, False).otherwise((lead < 0xF8) & (i - n + need <= F.octet_length(b)))
-    message = F.when(~inside, OUT_OF_BOUNDS).when(n == 0, NOT_WELL_FORMED).when(lead >= 0xF8, F.concat(F.lit("Illegal start 0x"), F.hex(lead.cast("bigint")), F.lit(" of code point"))).otherwise(TRUNCATED)
-    ok = F.when(inside.isNull(), F.lit(None).cast("boolean")).when(~inside, False).otherwise(whole)
-    return ok, F.when(n == 1, lead).otherwise(_decode_token(chars(part(b, i - n, 4)))), message
+
+    def whole(x: Column) -> Column:
+        """The lead byte may announce more than lies before i, and reads on beyond it."""
+        lead = F.ascii(x)
+        need = F.when(lead < 0x80, 1).when(lead < 0xE0, 2).when(lead < 0xF0, 3).otherwise(4)
+        return F.when(F.char_length(x) == 1, True).when(F.char_length(x) == 0, False).otherwise((lead < 0xF8) & (i - F.char_length(x) + need <= F.octet_length(b)))
+
+    why = lambda x: F.when(F.char_length(x) == 0, NOT_WELL_FORMED).when(F.ascii(x) >= 0xF8, _illegal(F.ascii(x))).otherwise(TRUNCATED)
+    value = lambda x: F.when(F.char_length(x) == 1, F.ascii(x)).otherwise(_bind(chars(part(b, i - F.char_length(x), 4)), _decode_token))
+    ok = F.when(inside.isNull(), F.lit(None).cast("boolean")).when(~inside, False).otherwise(_bind(back, whole))
+    return ok, _bind(back, value), F.when(~inside, OUT_OF_BOUNDS).otherwise(_bind(back, why))
 
 
 code_point_before, try_code_point_before = both(_code_point_before, "code_point_before")

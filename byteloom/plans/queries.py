@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +14,21 @@ from byteloom.functions import sizes as Z
 from byteloom.functions import utf8 as U
 from byteloom.operators.records import RecordLayout, explode_records, read, read_up_to, remaining, rewind, skip, write_bounded
 
+#: Int columns that are int in SQL as well.
+KEPT = {"l_linenumber", "lines", "us", "first", "last"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            """Counts and places as bigint, as SQL has them; columns of the tables keep their types."""
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.col(c).cast("bigint") for c, kind in df.dtypes if kind == "int" and c not in KEPT})
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -43,7 +52,7 @@ def cut() -> Column:
 LAYOUT = RecordLayout([("l_orderkey", "long"), ("l_partkey", "long"), ("l_suppkey", "unsigned_int"), ("l_linenumber", "short"), ("l_quantity", "float"), ("l_extendedprice", "double")])
 
 
-@query("SELECT lang, count(*) AS docs, sum(length(text)) AS code_points, sum(strlen(text)) AS bytes, count_if(strlen(text) = length(text)) AS ascii_docs FROM documents GROUP BY lang")
+@query("SELECT lang, count(*) AS docs, sum(length(text))::BIGINT AS code_points, sum(strlen(text))::BIGINT AS bytes, count_if(strlen(text) = length(text))::BIGINT AS ascii_docs FROM documents GROUP BY lang")
 def utf8_profile_by_lang(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("lang", "text")
     return d.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(U.count_code_points_bytes(raw())).alias("code_points"), F.sum(B.length(raw())).alias("bytes"), F.count_if(U.is_ascii("text")).alias("ascii_docs"))
@@ -104,7 +113,7 @@ def utf16_top(spark, sf_dir):
     return d.orderBy(U.utf16_key(F.substring("p", 1, 40)), "doc_id").limit(50)
 
 
-@query("SELECT a.doc_id, CASE WHEN a.lang < b.lang THEN -1 WHEN a.lang = b.lang THEN 0 ELSE 1 END AS c FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
+@query("SELECT a.doc_id, CASE WHEN a.lang < b.lang THEN -1 WHEN a.lang = b.lang THEN 0 ELSE 1 END::BIGINT AS c FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
 def utf16_compare(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("other")), "doc_id").select("doc_id", U.compare_utf16("lang", "other").alias("c"))
@@ -144,7 +153,7 @@ def bin_index_of(spark, sf_dir):
     )
 
 
-@query("SELECT p_partkey, p_name < p_type AS less, CASE WHEN p_name < p_type THEN -1 WHEN p_name = p_type THEN 0 ELSE 1 END AS c, p_name = p_type AS q, substring(p_name, 1, 3) = substring(p_type, 1, 3) AS r FROM part")
+@query("SELECT p_partkey, p_name < p_type AS less, CASE WHEN p_name < p_type THEN -1 WHEN p_name = p_type THEN 0 ELSE 1 END::BIGINT AS c, p_name = p_type AS q, substring(p_name, 1, 3) = substring(p_type, 1, 3) AS r FROM part")
 def bin_compare(spark, sf_dir):
     a, b = raw("p_name"), raw("p_type")
     return table(spark, sf_dir, "part").select("p_partkey", (a < b).alias("less"), B.compare(a, b).alias("c"), B.equals(a, b).alias("q"), B.equals_range(a, 0, 3, b, 0, 3).alias("r"))
@@ -166,7 +175,7 @@ def record_round_trip(spark, sf_dir):
     return own.select(key, F.col("l_linenumber"), part_, supp, line.alias("line"), quantity.alias("quantity"), price.alias("price"), B.length("b").alias("width"))
 
 
-@query("SELECT l_orderkey AS k, count(*) AS n, sum(l_partkey) AS parts, max(l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS k, count(*) AS n, sum(l_partkey)::BIGINT AS parts, max(l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey")
 def record_explode(spark, sf_dir):
     """Each order's records in one value, taken apart again."""
     own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", LAYOUT.encode().alias("b"))
@@ -267,7 +276,7 @@ def hash_buckets(spark, sf_dir):
     return by.groupBy(F.pmod("k", F.lit(64)).alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("customers"))
 
 
-@query("SELECT conv_id, count(*) AS n, sum(strlen(text)) AS bytes FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM conversations GROUP BY conv_id")
 def hash_chunks(spark, sf_dir):
     """The hash of each conversation's turns in order, where it's that of their concatenation."""
     own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(H.xxh64_chunks("turn", raw()).alias("h"), H.ordered_concat("turn", raw()).alias("b"), F.count("*").alias("n"))
@@ -276,7 +285,7 @@ def hash_chunks(spark, sf_dir):
 
 @query(
     "SELECT doc_id, 24 + 2 * (length(text) + len(list_filter(range(1, length(text) + 1), lambda i: unicode(substring(text, i::int, 1)) > 65535))) AS s, (16 + strlen(text) + 7) // 8 * 8 AS b,"
-    " (16 + 4 * 3 + 7) // 8 * 8 + 3 * 16 AS l, 24 AS o FROM documents WHERE doc_id < 300"
+    " ((16 + 4 * 3 + 7) // 8 * 8 + 3 * 16)::BIGINT AS l, 24::BIGINT AS o FROM documents WHERE doc_id < 300"
 )
 def size_estimates(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("doc_id < 300")
