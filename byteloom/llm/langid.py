@@ -98,23 +98,26 @@ def _letters(own: list[str], marked: bool) -> np.ndarray:
     return np.frombuffer("".join(f"<{w}>" if marked else w for w in own).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
+def packed(model: dict) -> dict:
+    """The tables as arrays, n-grams by their sorted hashes, to be sent to executors."""
+    k, tables = len(model["langs"]), {}
+    for n in range(1, LONGEST + 1):
+        keys = list(model[n])
+        h = _hashes(_letters(keys, False), n)[::n] if keys else np.zeros(0, np.uint64)  # each n-gram has n letters
+        order = np.argsort(h)
+        tables[n] = h[order], np.array([model[n][g] for g in keys], np.float64).reshape(len(keys), k)[order]
+    return {"langs": model["langs"], "words": list(model["words"]), "shares": np.array(list(model["words"].values()), np.float64).reshape(len(model["words"]), k), "tables": tables}
+
+
 class Scorer:
-    """``word_scores`` of many words at once, and the scores of the words met so far."""
+    """``word_scores`` of many words at once, by the packed tables, and the scores of the words met so far."""
 
     LIMIT = 200_000
 
-    def __init__(self, model: dict):
-        self.langs, self.k = model["langs"], len(model["langs"])
-        self.words = model["words"]
-        self.tables = {}
-        for n in range(1, LONGEST + 1):
-            keys = list(model[n])
-            if n > 1:
-                h = np.array([_hashes(_letters([g], False), n)[0] for g in keys], np.uint64)
-            else:
-                h = _hashes(_letters(keys, False), 1) if keys else np.zeros(0, np.uint64)
-            order = np.argsort(h)
-            self.tables[n] = h[order], np.array([model[n][g] for g in keys], np.float64).reshape(len(keys), self.k)[order]
+    def __init__(self, packed: dict):
+        self.langs, self.k = packed["langs"], len(packed["langs"])
+        self.words, self.shares = {w: i for i, w in enumerate(packed["words"])}, packed["shares"]
+        self.tables = packed["tables"]
         self.clear()
 
     def clear(self) -> None:
@@ -156,7 +159,7 @@ class Scorer:
                 if hit is None:
                     unseen.append(i)
                 else:
-                    rows[i, : self.k], rows[i, self.k] = hit, 1
+                    rows[i, : self.k], rows[i, self.k] = self.shares[hit], 1
                 rows[i, self.k + 1] = 1
         if unseen and self.k:
             rows[unseen, : self.k + 1] = self._unseen([fresh[i] for i in unseen])
@@ -184,6 +187,13 @@ class Scorer:
         return named, sure
 
 
+def slices(batches, rows: int = 500):
+    """The batches in parts, so that few texts are Python strings at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def fit_on(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_labelled: int = MAX_LABELLED) -> dict:
     """Fits on about ``max_labelled`` documents, chosen by a hash of their ids."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
@@ -198,12 +208,12 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     A document is rejected where nothing in it speaks for a language: null or empty text, no letters, only unknown scripts, or a tie of all languages.
     Repeated rows each have a row; a null id stays null; other columns are ignored; an empty table, or one without labels, rejects all it has."""
     model = fit_on(docs, id_col, text_col, lang_col, max_labelled)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_labelled
+    shared = docs.sparkSession.sparkContext.broadcast(packed(model))  # bounded by max_labelled
     spark_id = docs.schema[id_col]
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in slices(batches):
             named, sure = scorer.identify(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(named, pa.string()), pa.array(sure, pa.float64()), pa.array([x == UNKNOWN for x in named], pa.bool_())], ["doc_id", "language", "confidence", "rejected"])
 
@@ -213,12 +223,12 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``docs`` without the rows that ``detect`` rejects, decided row by row where the row lies; nothing is shuffled."""
     model = fit_on(docs, id_col, text_col, lang_col, max_labelled)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(packed(model))
     at = docs.columns.index(text_col)
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in slices(batches):
             named, _ = scorer.identify(b.column(at).to_pylist())
             yield b.filter(pa.array([x != UNKNOWN for x in named], pa.bool_()))
 

@@ -7,7 +7,7 @@ from byteloom.llm import langid as L
 def test_held_out_accuracy(spark):
     rows = [(r.lang, r.text) for r in documents(spark, "/root/testdata/sf0.01").select("lang", "text").collect()]
     model = L.fit(rows[:600])
-    named, sure = L.Scorer(model).identify([t for _, t in rows[600:]])
+    named, sure = L.Scorer(L.packed(model)).identify([t for _, t in rows[600:]])
     assert np.mean([a == b for a, (b, _) in zip(named, rows[600:])]) > 0.97
     assert L.UNKNOWN not in named and all(0 < s <= 1 for s in sure)
 
@@ -16,7 +16,7 @@ def test_many_words_at_once_score_as_one_by_one(spark):
     rows = [(r.lang, r.text) for r in documents(spark).select("lang", "text").collect()]
     model = L.fit(rows[:100])
     own = sorted({w for _, t in rows[100:140] for w in L.words(t) if w.isalpha()}) + ["x", "é", "zzzqqq", "日本", "a" * 5000, "ñ"]
-    s = L.Scorer(model)
+    s = L.Scorer(L.packed(model))
     s.identify([" ".join(own)])
     for w in own:
         row, known = L.word_scores(model, w)
