@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word is the vector of its hash and the scaled sum of its character trigrams' vectors. Windows of WINDOW words, STRIDE apart, overlap; each is read in both directions,
+A word is the vector of its hash, if it's common enough, and the scaled sum of its character trigrams' vectors. Windows of WINDOW words, STRIDE apart, overlap; each is read in both directions,
 attention weighs its words, and a document's score is that of its worst window. Documents are labelled as a whole, so training first takes every window of a toxic
 document for toxic, and then only those that the network itself finds worst."""
 
@@ -18,12 +18,17 @@ from byteloom.llm.common import words
 
 by_value(__name__)
 
-#: Labelled documents that the network is trained on, about, half of each class if there are enough.
-MAX_LABELLED = 2400
+#: Labelled documents that the network is trained on, about, a quarter of them toxic if there are enough.
+MAX_LABELLED = 3600
 WINDOW, STRIDE = 64, 48
-WORDS, TRIGRAMS = 16_384, 16_384
+WORDS, TRIGRAMS = 65_536, 16_384
+#: Documents that a word must occur in to have a vector of its own; rarer ones would only be learnt by heart.
+COMMON = 2
 DIM, HIDDEN, ATTENTION = 12, 16, 16
-EPOCHS, BATCH, RATE = 5, 256, 0.01
+#: Rounds of training, after each of which windows are chosen anew; passes over them and steps of a round, at most; windows of a step.
+ROUNDS, PASSES, STEPS, BATCH, RATE = 5, 2, 200, 128, 0.01
+#: Labels are taken to be so much less than sure, which keeps scores apart at the ends.
+SMOOTH = 0.02
 #: Words whose projections a task keeps.
 CACHE = 300_000
 
@@ -99,6 +104,14 @@ def forward(m: dict, p: list[np.ndarray], idx: np.ndarray, keep: dict | None = N
     return c @ m["wo"] + m["bo"]
 
 
+def row_sums(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows named in ``at``, and the sums of their values."""
+    order = np.argsort(at, kind="stable")
+    own = at[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    return own[first], np.add.reduceat(values[order], first, axis=0) if len(own) else values[:0]
+
+
 def backward(m: dict, p: list[np.ndarray], idx: np.ndarray, k: dict, dlogit: np.ndarray) -> tuple[dict, list[np.ndarray]]:
     """Gradients of the dense weights, and of ``p``."""
     g = {"wo": k["c"].T @ dlogit, "bo": dlogit.sum(keepdims=True)}
@@ -114,14 +127,17 @@ def backward(m: dict, p: list[np.ndarray], idx: np.ndarray, k: dict, dlogit: np.
     for j, d in enumerate("fb"):
         u, half = m["u" + d], dh_all[:, :, j * HIDDEN : (j + 1) * HIDDEN]
         gu, dh, grad = np.zeros_like(u), np.zeros((idx.shape[0], HIDDEN), np.float32), np.zeros_like(p[j])
+        every = np.empty((idx.shape[1], idx.shape[0], 3 * HIDDEN), grad.dtype)
         for t, h, z, r, n, hun in reversed(k["kept"][j]):
             dh = dh + half[t]
             dn = dh * (1 - z) * (1 - n * n)
             gates = np.concatenate([dh * (h - n) * z * (1 - z), dn * hun * r * (1 - r), dn], axis=1)
             dhu = np.concatenate([gates[:, : 2 * HIDDEN], dn * r], axis=1)
-            np.add.at(grad, idx[:, t], gates)
+            every[t] = gates
             gu += h.T @ dhu
             dh = dh * z + dhu @ u.T
+        rows, sums = row_sums(idx.T.reshape(-1), every.reshape(-1, 3 * HIDDEN))
+        grad[rows] = sums
         grad[0] = 0
         g["u" + d], _ = gu, dp.append(grad)
     return g, dp
@@ -134,7 +150,7 @@ def train_step(m: dict, state: dict, feats, idx: np.ndarray, y: np.ndarray, rate
     keep: dict = {}
     logit = forward(m, p, idx, keep)
     prob = sigmoid(logit)
-    g, dp = backward(m, p, idx, keep, ((prob - y) / len(y)).astype(np.float32))
+    g, dp = backward(m, p, idx, keep, ((prob - (y * (1 - 2 * SMOOTH) + SMOOTH)) / len(y)).astype(np.float32))
     dx = 0
     for j, d in enumerate("fb"):
         g["w" + d], g["c" + d] = x.T @ dp[j][1:], dp[j][1:].sum(axis=0)
@@ -150,9 +166,10 @@ def train_step(m: dict, state: dict, feats, idx: np.ndarray, y: np.ndarray, rate
     rows, grams, starts = feats
     n = np.diff(np.append(starts, len(grams)))
     for k, at, grad in (("ew", rows, dx[:, :DIM]), ("ec", grams, np.repeat(dx[:, DIM:] / np.sqrt(n)[:, None], n, axis=0))):
-        uniq, inverse = np.unique(at, return_inverse=True)
-        total = np.zeros((len(uniq), DIM), np.float32)
-        np.add.at(total, inverse, grad.astype(np.float32))
+        if k == "ew" and "common" in state:
+            kept = state["common"][at]
+            at, grad = at[kept], grad[kept]
+        uniq, total = row_sums(at, grad.astype(np.float32))
         past = state.setdefault("g" + k, np.full(len(m[k]), 1e-6, np.float32))
         past[uniq] += (total * total).mean(axis=1)
         m[k][uniq] -= 5 * rate * total / np.sqrt(past[uniq])[:, None]
@@ -222,28 +239,36 @@ def fit(rows: list[tuple[int, str, int]]) -> dict:
     spans = [(d, a, b) for d, own in enumerate(texts) for a, b in windows(len(own))]
     doc, label = np.array([d for d, _, _ in spans]), np.array([y for *_, y in used], np.float32)
     r = np.random.default_rng(1)
-    for epoch in range(EPOCHS):
+    seen = np.zeros(WORDS, np.int64)
+    for own in texts:
+        seen[np.unique(features(list(set(own)))[0])] += 1
+    state["common"] = seen >= COMMON
+    m["ew"][~state["common"]] = 0
+    for turn in range(ROUNDS):
         pick = np.arange(len(spans))
-        if epoch:
+        if turn:
             s = np.concatenate(Reader(m).scores([t for _, t, _ in used]))
             best = np.zeros(len(used), np.float32)
             np.maximum.at(best, doc, s)
-            # of a toxic document the windows near its worst one, of others all
-            pick = np.flatnonzero((label[doc] == 0) | (s >= np.minimum(best[doc], np.maximum(0.5, 0.8 * best[doc]))))
+            # of a toxic document the windows near its worst one, if any is likely, as labels may be wrong; of others all
+            pick = np.flatnonzero((label[doc] == 0) | (s >= np.maximum(0.5, 0.8 * best[doc])))
         good, bad = pick[label[doc[pick]] == 0], pick[label[doc[pick]] == 1]
         if len(good) > 3 * len(bad):  # the clean windows that score highest, and as many drawn from the others
             k = 3 * len(bad) // 2
-            hard = good[np.argsort(-s[good], kind="stable")[:k]] if epoch else good[:0]
+            hard = good[np.argsort(-s[good], kind="stable")[:k]] if turn else good[:0]
             good = np.union1d(hard, r.choice(good, 3 * len(bad) - len(hard), replace=False))
-        pick = r.permutation(np.concatenate([good, bad]))
-        for i in range(0, len(pick), BATCH):
-            own = pick[i : i + BATCH]
+        if not len(bad):
+            break
+        pick = np.concatenate([good, bad])
+        order = np.concatenate([r.permutation(pick) for _ in range(PASSES)])[: STEPS * BATCH]
+        for i in range(0, len(order), BATCH):
+            own = order[i : i + BATCH]
             at: dict[str, int] = {}
             idx = np.zeros((len(own), WINDOW), np.int32)
             for k, w in enumerate(own):
                 d, a, b = spans[w]
                 idx[k, : b - a] = [at.setdefault(x, len(at)) + 1 for x in texts[d][a:b]]
-            train_step(m, state, features(list(at)), idx, label[doc[own]], RATE * (1 - epoch / EPOCHS))
+            train_step(m, state, features(list(at)), idx, label[doc[own]], RATE * (1 - turn / ROUNDS))
     check = aside if len({y for *_, y in aside}) == 2 else used
     worst = np.array([x.max() for x in Reader(m).scores([t for _, t, _ in check])])
     y = np.array([y for *_, y in check])
@@ -252,15 +277,15 @@ def fit(rows: list[tuple[int, str, int]]) -> dict:
     at = int(np.argmax(f1))
     best = cuts[at]
     below = worst[worst < best]
-    # midway to the next lower score that was rejected
-    return {"model": m, "threshold": float((best + below.max()) / 2) if len(below) else float(best)}
+    # a quarter of the way to the next lower score, which was rejected
+    return {"model": m, "threshold": float((3 * best + below.max()) / 4) if len(below) else float(best)}
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id_col: str, label_col: str, max_labelled: int) -> dict:
-    """Trains on about ``max_labelled`` documents, chosen by a hash of their ids, of each class up to half."""
+    """Trains on about ``max_labelled`` documents, chosen by a hash of their ids, up to a quarter of them toxic."""
     y = labels.where(F.col(label_id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(label_id_col).cast("bigint").alias("i")).agg(F.max(label_col).cast("int").alias("y"))
     n = {r.y: r["count"] for r in y.groupBy("y").count().collect()}
-    share = F.when(F.col("y") == 1, max_labelled / 2 / max(1, n.get(1, 0))).otherwise(max_labelled / 2 / max(1, n.get(0, 0)))
+    share = F.when(F.col("y") == 1, max_labelled / 4 / max(1, n.get(1, 0))).otherwise(max_labelled * 3 / 4 / max(1, n.get(0, 0)))
     y = y.where(F.pmod(F.xxhash64("i", F.lit(23)), F.lit(1_000_000)) < share * 1_000_000)
     text = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     rows = text.join(F.broadcast(y), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).collect()  # y is bounded by max_labelled
