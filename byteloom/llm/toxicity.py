@@ -23,7 +23,7 @@ MAX_LABELLED = 3600
 WINDOW, STRIDE = 64, 48
 WORDS, TRIGRAMS = 65_536, 16_384
 #: Documents that a word must occur in to have a vector of its own; rarer ones would only be learnt by heart.
-COMMON = 2
+COMMON = 3
 DIM, HIDDEN, ATTENTION = 12, 16, 16
 #: Rounds of training, after each of which windows are chosen anew; passes over them and steps of a round, at most; windows of a step.
 ROUNDS, PASSES, STEPS, BATCH, RATE = 5, 2, 200, 128, 0.01
