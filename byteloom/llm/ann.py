@@ -3,7 +3,8 @@
 Vectors are assigned to lists by k-means, and a vector's difference from its list's centre is quantised in pairs of dimensions to one of 16 codewords, four bits each. What
 matters for large inner products is the part of the quantisation's error that is parallel to the vector, so that part's square weighs ETA times as much as the rest's, both
 when codes are chosen and when codewords are fitted. Lists make blocks of about BLOCK vectors. A query scans the codes of the blocks that hold a list it probes through tables
-of its products with all codewords, and the RERANK best of a block are scored again exactly. By default all lists are probed: vectors without structure have their neighbours
+of its products with all codewords, and the RERANK best of a block are scored again exactly. So is every other vector of the block whose rough score, with the bound of its
+quantisation's error, could still reach the k-th exact score: of the blocks it scans a query has the true best, and equal scores go by id. By default all lists are probed: vectors without structure have their neighbours
 in any list, and fewer probes lose them."""
 
 from __future__ import annotations
@@ -104,6 +105,49 @@ def scan(queries: np.ndarray, centres: np.ndarray, lists: np.ndarray, books: np.
     return out
 
 
+def error_bound(x: np.ndarray, centres: np.ndarray, lists: np.ndarray, books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Of each vector the most by which ``scan`` can miss its product with a query of length 1: its quantisation's error, and the rounding of the scan."""
+    coded = books[np.arange(len(books))[None], codes].reshape(x.shape).astype(np.float64)
+    c = centres[lists].astype(np.float64)
+    size = np.linalg.norm(c, axis=1) + np.linalg.norm(coded, axis=1)
+    return np.linalg.norm(x - c - coded, axis=1) + (2 * x.shape[1] + 16) * 2.0**-24 * size
+
+
+def first_of_equals(x: np.ndarray, most: int) -> np.ndarray:
+    """The places, in order, of all rows but those that have ``most`` equal ones before them."""
+    _, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).reshape(-1), return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(same[order]) > 0])
+    before = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+    return np.sort(order[before < most])
+
+
+def best_of_block(who: np.ndarray, y: np.ndarray, rough: np.ndarray, ids: np.ndarray, x: np.ndarray, error: np.ndarray, k: int, rerank: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the ids and exact scores of its ``k`` best members but itself; ``rough`` (queries, members) may miss a score by ``error`` times the query's length."""
+    y = y.astype(np.float64)
+    length = np.linalg.norm(y, axis=1)[:, None]
+    top = min(len(ids), max(rerank, k + 1))
+    need = np.ones(len(ids), bool)
+    if top < len(ids):
+        cand = np.argpartition(rough, len(ids) - top, axis=1)[:, len(ids) - top :]
+        exact = np.einsum("nd,ncd->nc", y, x[cand].astype(np.float64))
+        exact[who[:, None] == ids[cand]] = -np.inf
+        reach = np.partition(exact, top - k, axis=1)[:, top - k, None]
+        # what isn't a number can't be ruled out
+        need = ~(rough + length * error < reach - 1e-9 * np.abs(reach)).all(axis=0)
+        need[cand.reshape(-1)] = True
+    ids, x = ids[need], x[need].astype(np.float64)
+    exact = y @ x.T
+    exact[who[:, None] == ids] = -np.inf
+    reach = np.partition(exact, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k), None]
+    # a matrix product may round equal rows differently: those near the k-th are scored again one by one
+    a, b = np.nonzero((exact >= reach - x.shape[1] * 2.0**-50 * length * np.linalg.norm(x, axis=1).max(initial=0)) & np.isfinite(exact))
+    score = np.concatenate([np.einsum("nd,nd->n", y[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
+    order = np.lexsort((ids[b], -score, a))
+    cuts = np.searchsorted(a, np.arange(len(y) + 1))
+    return [(ids[b[own]], score[own]) for own in (order[i:j][:k] for i, j in zip(cuts, cuts[1:]))]
+
+
 def _sums(rows: DataFrame, function, key: str, width: int) -> dict[int, np.ndarray]:
     """``function`` turns a batch's vectors into (keys, float64 rows); these are added up by key over all partitions."""
 
@@ -215,8 +259,8 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                     asked = [np.unique(of_list[a]) for a in np.argpartition(-(x @ centres.T), probes - 1, axis=1)[:, :probes]]
                 else:
                     asked = [np.arange(blocks)] * len(x)
-                cols = [part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(own, pa.int64()), pa.array(of_list[own]), pa.array(asked, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "v", "code", "list", "block", "asks"])
+                cols = [part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error_bound(x, centres, own, books, codes)), pa.array(own, pa.int64()), pa.array(of_list[own]), pa.array(asked, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "v", "code", "error", "list", "block", "asks"])
 
     def search(batches):
         centres, books = kept.value
@@ -231,29 +275,25 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             m, q = t.filter(member).sort_by("id"), t.filter(pa.compute.invert(member))
             if not m.num_rows or not q.num_rows:
                 continue
-            ids, x, at = m.column("id").to_numpy(), matrix(m.column("v").combine_chunks()), m.column("list").to_numpy()
+            x = matrix(m.column("v").combine_chunks())
+            first = first_of_equals(x, k + 1)  # of equal members, by id, no query has more among its best
+            m, x = m.take(pa.array(first)), x[first]
+            ids, at, error = (m.column(name).to_numpy() for name in ("id", "list", "error"))
             codes = np.frombuffer(b"".join(m.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            q = q.sort_by("list")  # queries that are alike need the same members
             asker, queries = q.column("id").to_numpy(), matrix(q.column("v").combine_chunks())
-            for i in range(0, len(asker), 64):
-                who, y = asker[i : i + 64], queries[i : i + 64]
+            step = max(1, min(64, 128 * BLOCK // len(ids)))
+            for i in range(0, len(asker), step):
+                who, y = asker[i : i + step], queries[i : i + step]
                 rough = np.ascontiguousarray(scan(y, centres, at, books, codes).T)
-                top = min(len(ids), max(rerank, k + 1))
-                cand = np.argpartition(rough, len(ids) - top, axis=1)[:, len(ids) - top :] if top < len(ids) else np.tile(np.arange(len(ids)), (len(who), 1))
-                cand.sort(axis=1)
-                exact = np.einsum("nd,ncd->nc", y.astype(np.float64), x[cand].astype(np.float64))
-                exact[who[:, None] == ids[cand]] = -np.inf
-                best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-                score, found = np.take_along_axis(exact, best, axis=1), ids[np.take_along_axis(cand, best, axis=1)]
-                ok = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(who), pa.array([f[o] for f, o in zip(found, ok)], pa.list_(pa.int64())), pa.array([s[o] for s, o in zip(score, ok)], pa.list_(pa.float64()))], ["vec_id", "ids", "scores"]
-                )
-
-    placed = table(rows.mapInArrow(place, "id bigint, v binary, code binary, list bigint, block bigint, asks array<bigint>"))
+                best = best_of_block(who, y, rough, ids, x, error, k, rerank)
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array([f for f, _ in best], pa.list_(pa.int64())), pa.array([s for _, s in best], pa.list_(pa.float64()))], ["vec_id", "ids", "scores"])
+
+    placed = table(rows.mapInArrow(place, "id bigint, v binary, code binary, error double, list bigint, block bigint, asks array<bigint>"))
     # every block of members meets every block of the queries that ask it in a cell of its own
     asking = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(blocks))
-    members = placed.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select((F.col("block") * blocks + F.col("a")).alias("cell"), "id", "v", "code", "list")
-    queries = placed.select("id", "v", asking.alias("ask"), F.explode("asks").alias("b")).select((F.col("b") * blocks + F.col("ask")).alias("cell"), "id", "v", F.lit(None).cast("binary").alias("code"), F.lit(0).cast("bigint").alias("list"))
+    members = placed.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select((F.col("block") * blocks + F.col("a")).alias("cell"), "id", "v", "code", "error", "list")
+    queries = placed.select("id", "v", "list", asking.alias("ask"), F.explode("asks").alias("b")).select((F.col("b") * blocks + F.col("ask")).alias("cell"), "id", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error"), "list")
     found = members.unionByName(queries).repartition(blocks * blocks, "cell").mapInArrow(search, "vec_id bigint, ids array<bigint>, scores array<double>")
     pairs = F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i")))
     best = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("best"))

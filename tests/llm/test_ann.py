@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from helpers import table
 
@@ -82,3 +84,15 @@ def test_odd_rows_and_empty(spark):
     assert A.neighbours(table(spark, [], schema)).collect() == []
     assert A.neighbours(table(spark, [(1, [1.0, 2.0])], schema)).collect() == []
     assert A.neighbours(table(spark, [(1, None)], schema)).collect() == []
+
+
+def test_dense_groups_and_equal_vectors(spark):
+    r = np.random.default_rng(3)
+    near = r.normal(size=32)
+    near = near + 0.02 * np.linalg.norm(near) / math.sqrt(32) * r.normal(size=(400, 32))
+    x = np.concatenate([r.normal(size=(500, 32)), near, np.repeat(r.normal(size=(1, 32)), 300, axis=0)]).astype(np.float32)
+    ids = r.permutation(len(x)).tolist()
+    df = table(spark, [(i, v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<float>")
+    got, want = found(A.neighbours(df)), brute(ids, x, 10)
+    assert recall(got, want) >= 0.999
+    assert all(got[i] == want[i] for i in ids[900:])  # equal scores by id
