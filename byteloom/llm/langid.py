@@ -194,12 +194,20 @@ def slices(batches, rows: int = 500):
             yield b.slice(i, rows)
 
 
+def below(share: float) -> int:
+    """What a signed 64-bit hash is at most with probability ``share``; above 0 rows, never a test that no hash can pass."""
+    return min((1 << 63) - 1, max(0, int(share * 2.0**64)) - (1 << 63))
+
+
 def fit_on(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_labelled: int = MAX_LABELLED) -> dict:
-    """Fits on about ``max_labelled`` documents, chosen by a hash of their ids."""
+    """Fits on about ``max_labelled`` documents, chosen by a hash of their ids. If there are labelled documents but none was drawn, that's an error."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     share = min(1.0, max_labelled / max(1, docs.count()))
-    rows = rows.where("t is not null and l is not null").where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return fit([(r.l, r.t) for r in rows.select("l", "t").collect()])
+    rows = rows.where("t is not null and l is not null")
+    drawn = [(r.l, r.t) for r in rows.where(F.xxhash64("i") <= below(share)).select("l", "t").collect()]
+    if not drawn and rows.limit(1).count():
+        raise ValueError("there are labelled documents, but none was drawn to fit on")
+    return fit(drawn)
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_labelled: int = MAX_LABELLED) -> DataFrame:

@@ -56,3 +56,17 @@ def test_without_labels_and_empty(spark):
 def test_clean_documents_stay(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     assert L.keep_known(docs).count() == docs.count()
+
+
+def test_sample_is_never_empty(spark):
+    from pyspark.sql import functions as F
+
+    # a share below 1 in 1,000,000, as 4,000 of more than 4e9 documents
+    docs = spark.range(60_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.lit("uma frase curta").alias("text"), F.lit("pt").alias("lang"))
+    try:
+        assert L.fit_on(docs, "doc_id", "text", "lang", max_labelled=0.05)["langs"] == ["pt"]
+    except ValueError:
+        pass  # never in silence
+    for n in (10**10, 10**15):
+        assert abs((L.below(4000 / n) + (1 << 63)) / 2**64 * n - 4000) < 1
+    assert L.below(1.0) == (1 << 63) - 1
