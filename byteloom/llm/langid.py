@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byteloom._ship import by_value
+from byteloom.llm.common import small
 
 by_value(__name__)
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
-#: Labelled documents that the tables are fitted on, about.
-MAX_LABELLED = 4000
+#: Labelled documents that the tables are fitted on, about, as many of each language; LEAST of a language, or all it has, also where that makes more together.
+MAX_LABELLED, LEAST = 4000, 25
 LONGEST = 5
 #: A known word weighs 1, an unseen word that n-grams stand for this much.
 BACKOFF_WEIGHT = 0.5
@@ -200,13 +201,20 @@ def below(share: float) -> int:
 
 
 def fit_on(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_labelled: int = MAX_LABELLED) -> dict:
-    """Fits on about ``max_labelled`` documents, chosen by a hash of their ids. If there are labelled documents but none was drawn, that's an error."""
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    share = min(1.0, max_labelled / max(1, docs.count()))
-    rows = rows.where("t is not null and l is not null")
-    drawn = [(r.l, r.t) for r in rows.where(F.xxhash64("i") <= below(share)).select("l", "t").collect()]
-    if not drawn and rows.limit(1).count():
-        raise ValueError("there are labelled documents, but none was drawn to fit on")
+    """Fits on about ``max_labelled`` labelled documents, chosen by a hash of their ids and texts, as many of each language: at least LEAST, or all that it has.
+
+    Every language with a labelled document is in the model, however rare it is; documents without a label don't count. Rows that repeat id and text are drawn once."""
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null")
+    counts = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}
+    if not counts:
+        return fit([])
+    each = max(LEAST, max_labelled / len(counts))
+    bounds = docs.sparkSession.createDataFrame([(x, below(min(1.0, each / n))) for x, n in counts.items()], f"l {rows.schema['l'].dataType.simpleString()}, bound bigint")
+    drawn = rows.join(small(bounds, len(counts), 64), "l").where(F.xxhash64("i", "t") <= F.col("bound")).select("i", "l", "t").distinct()
+    drawn = [(r.l, r.t) for r in drawn.select("l", "t").collect()]
+    # repeated rows share a hash, so of a language that has few others none may be drawn
+    if left := list(counts.keys() - {x for x, _ in drawn}):
+        drawn += [(r.l, r.t) for r in rows.where(F.col("l").isin(left)).groupBy("l").agg(F.min("t").alias("t")).collect()]
     return fit(drawn)
 
 

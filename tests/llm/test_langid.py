@@ -1,5 +1,5 @@
 import numpy as np
-from helpers import documents, empty, odd
+from helpers import documents, empty, odd, table
 
 from byteloom.llm import langid as L
 
@@ -70,3 +70,15 @@ def test_sample_is_never_empty(spark):
     for n in (10**10, 10**15):
         assert abs((L.below(4000 / n) + (1 << 63)) / 2**64 * n - 4000) < 1
     assert L.below(1.0) == (1 << 63) - 1
+
+
+def test_rare_languages_and_few_labels(spark):
+    rows = [(i, f"the river runs near the old town {i}", "en" if i % 2 else None, "a") for i in range(2000)] + [(5000 + i, "Волк бежит через лес к реке", "ru", "a") for i in range(2)]
+    docs = table(spark, rows)
+    got = {r.doc_id: r.language for r in L.detect(docs, max_labelled=40).collect()}
+    assert got[5000] == got[5001] == "ru" and got[0] == "en"
+    # 1 in 100 rows has a label: the sample is of those
+    few = table(spark, [(i, f"word{'abcdefghij'[i % 10]} of text", "en" if i % 100 == 0 else None, "a") for i in range(3000)])
+    assert L.fit_on(few, "doc_id", "text", "lang", max_labelled=30)["words"]
+    same = table(spark, [(7, "уже было", "ru", "a")] * 300 + [(1, "one two", "en", "a")])
+    assert L.fit_on(same, "doc_id", "text", "lang", max_labelled=2)["langs"] == ["en", "ru"]
