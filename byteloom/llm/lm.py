@@ -9,6 +9,7 @@ a bucket adds up what it gets and answers each chunk. An n-gram travels once for
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
@@ -21,6 +22,7 @@ from byteloom.llm.common import table, words
 
 by_value(__name__)
 
+#: The order of ``score`` unless it's told another; the query op3_lm_score has order 3.
 ORDER = 2
 CHUNK_TOKENS = 1_000_000
 #: N-grams of one bucket, about.
@@ -108,20 +110,21 @@ def ngrams(hashes: np.ndarray, seq: np.ndarray, lens: np.ndarray, order: int) ->
     return out
 
 
-def _send(order: int, bits: int):
+def _send(order: int, n: int, bits: int):
+    """Sends the n-grams of the one order ``n``."""
+
     def run(batches):
         for b in batches:
             for chunk, lens, held, hashes, seq in zip(*(b.column(k).to_pylist() for k in range(5))):
                 lens, hashes, seq = np.array(lens, np.int64), _unpack(hashes), _unpack(seq)
                 counted = np.repeat(~np.array(held, bool), lens)
                 rows = []
-                for n, keys in enumerate(ngrams(hashes, seq, lens, order), 1):
-                    uniq, inverse = np.unique(keys, return_inverse=True)
-                    times = np.bincount(inverse[counted], minlength=len(uniq)).astype(np.uint32)
-                    bucket = (uniq >> np.uint64(64 - bits)).astype(np.int64)
-                    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                    for a, z in zip(cuts, np.r_[cuts[1:], len(uniq)]):
-                        rows.append((int(bucket[a]) * order + n - 1, chunk, _pack(np.diff(uniq[a:z], prepend=np.uint64(0))), _pack(times[a:z])))
+                uniq, inverse = np.unique(ngrams(hashes, seq, lens, n)[-1], return_inverse=True)
+                times = np.bincount(inverse[counted], minlength=len(uniq)).astype(np.uint32)
+                bucket = (uniq >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                for a, z in zip(cuts, np.r_[cuts[1:], len(uniq)]):
+                    rows.append((int(bucket[a]) * order + n - 1, chunk, _pack(np.diff(uniq[a:z], prepend=np.uint64(0))), _pack(times[a:z])))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["bucket", "chunk", "keys", "times"])
 
@@ -273,19 +276,31 @@ def _scores(weights: np.ndarray, tokens: int, docs: int, types: int):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """(doc_id, n_words, log2_prob, bits_per_token, perplexity, held_out) of every row, by a bigram model.
+def _free(spark) -> None:
+    """Has the driver drop the shuffle files that nothing refers to any more; else they lie there until it happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS, order: int | None = None) -> DataFrame:
+    """(doc_id, n_words, log2_prob, bits_per_token, perplexity, held_out) of every row, by a model of ``order`` words, ORDER by default.
 
+    Orders are counted one after the other, so that the n-grams of one lie in shuffle files at a time.
     Tokens are words in lower case and an end; null and empty texts are an end alone, which is scored. A document is held out by its id; rows without an id never are.
     Repeated rows are counted and scored each. Of a table without held-out documents the weights are equal; of one without words only the uniform estimate counts.
     Other columns are ignored; an empty table gives an empty one."""
-    order = ORDER
+    order = order or ORDER
     rows = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
     chunks = table(rows.mapInArrow(_chunks(chunk_tokens), "chunk bigint, ids array<bigint>, lens array<int>, held array<boolean>, words binary, seq binary"))
     known = chunks.select(F.expr("aggregate(lens, 0L, (a, x) -> a + x)").alias("n"), F.expr("size(filter(held, x -> not x))").alias("d")).agg(F.sum("n").alias("n"), F.sum("d").alias("d")).first()
     bits = max(4, math.ceil(math.log2(max(1, (known.n or 0) / BUCKET_TOKENS))))
-    sent = chunks.select("chunk", "lens", "held", "words", "seq").mapInArrow(_send(order, bits), "bucket bigint, chunk bigint, keys binary, times binary")
-    sums = table(sent.repartition("bucket").mapInArrow(_answer, "bucket bigint, chunk bigint, sums binary, types bigint, tokens bigint"))
+    sums = None
+    for n in range(1, order + 1):
+        sent = chunks.select("chunk", "lens", "held", "words", "seq").mapInArrow(_send(order, n, bits), "bucket bigint, chunk bigint, keys binary, times binary")
+        own = table(sent.repartition("bucket").mapInArrow(_answer, "bucket bigint, chunk bigint, sums binary, types bigint, tokens bigint"))
+        sums = own if sums is None else sums.unionByName(own)
+        del sent
+        _free(docs.sparkSession)
     whole = sums.where(f"chunk is null and bucket % {order} = 0").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
     types, tokens, n_docs = whole.types or 0, whole.tokens or 0, known.d or 0
     answers = sums.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sums")).alias("got"))

@@ -22,7 +22,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_docs(spark, sf_dir))
+    return lm.score(_docs(spark, sf_dir), order=3)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

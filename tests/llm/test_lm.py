@@ -98,3 +98,12 @@ def test_packing_of_arrays():
     for a in (np.array([], np.uint64), np.array([1, 2**63], np.uint64), np.arange(1000, dtype=np.uint32), np.array([0.25, -1.5])):
         b = lm._unpack(lm._pack(a))
         assert b.dtype == a.dtype and (a == b).all()
+
+
+def test_the_query_has_trigrams(spark):
+    from helpers import SF
+
+    from byteloom.llm import queries
+
+    docs = documents(spark)
+    same(queries.op3_lm_score(spark, SF), [tuple(r) for r in docs.select("doc_id", "text").collect()], 3)
