@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +22,14 @@ from byteloom._ship import by_value
 by_value(__name__)
 
 NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credential)s?"
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----(.*?)-----END \1-----", re.S)
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]+)(?![A-Za-z0-9_-])")
+FRAME = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})-----")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]++)")
 KEY_ID = re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)([A-Z2-7]{16}))(?![A-Za-z0-9])")
-BASIC = re.compile(r"(?i:\bbasic)\s+([A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])", re.A)
-ASSIGNED = re.compile(rf"(?i:(?<![A-Za-z0-9]){NAMES})[\"']?\s*(?:=>|:=|=|:)\s*[\"']?([A-Za-z0-9+/_-]{{16,}}={{0,2}})(?![A-Za-z0-9+/_=-])", re.A)
-BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{40,}={0,2})(?![A-Za-z0-9+/_=-])")
-#: What any of the patterns needs; Spark drops other texts before they reach Python.
-ANY = rf"-----BEGIN |[A-Za-z0-9+/_-]{{40}}|eyJ[A-Za-z0-9_-]{{8}}|(?:AKIA|ASIA)[A-Z2-7]{{16}}|(?i:basic)\s+[A-Za-z0-9+/]{{8}}|(?i:{NAMES})[\"']?\s*[:=]"
+BASIC = re.compile(r"(?i:\bbasic)\s++([A-Za-z0-9+/]{8,}+={0,2}+)(?![A-Za-z0-9+/=])", re.A)
+ASSIGNED = re.compile(rf"(?i:(?<![A-Za-z0-9]){NAMES})[\"']?\s*+(?:=>|:=|=|:)\s*+[\"']?([A-Za-z0-9+/_-]{{16,}}+={{0,2}}+)(?![A-Za-z0-9+/_=-])", re.A)
+BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{40,}+={0,2}+)(?![A-Za-z0-9+/_=-])")
+#: What any of the patterns needs; texts without it are dropped from the Arrow batch by one pass of an automaton, before they become Python strings.
+ANY = rf"-----BEGIN |[A-Za-z0-9+/_-]{{40}}|eyJ[A-Za-z0-9_-]{{8}}|(?:AKIA|ASIA)[A-Z2-7]{{16}}|(?i:basic)[\s\x0b]+[A-Za-z0-9+/]{{8}}|(?i:{NAMES})[\"']?[\s\x0b]*[:=]"
 
 SIGNATURE_BYTES = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES256K": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EDDSA": (64, 114)} | {a + n: (128, 1024) for a in ("RS", "PS") for n in ("256", "384", "512")}
 
@@ -50,31 +52,37 @@ def unhex(s: str) -> bytes | None:
     return bytes.fromhex(s)
 
 
-def der(raw: bytes, depth: int = 0) -> list | None:
-    """Nested (tag, value) of a run of encoded elements, value a list for constructed ones; None unless all lengths nest exactly."""
-    out, at = [], 0
-    while at < len(raw):
-        if len(raw) - at < 2 or depth > 16:
+def der(raw: bytes) -> list | None:
+    """Nested (tag, value) of a run of encoded elements, value a list for constructed ones; None unless all lengths nest exactly, however deep."""
+    top: list = []
+    at, open_ = 0, [(len(raw), top)]
+    while open_:
+        end, out = open_[-1]
+        if at == end:
+            open_.pop()
+            continue
+        if end - at < 2:
             return None
         tag, n, at = raw[at], raw[at + 1], at + 2
         if tag & 0x1F == 0x1F:
             return None
         if n & 0x80:
             k = n & 0x7F
-            if not 1 <= k <= 4 or len(raw) - at < k or raw[at] == 0:
+            if not 1 <= k <= 4 or end - at < k or raw[at] == 0:
                 return None
             n, at = int.from_bytes(raw[at : at + k], "big"), at + k
             if n < 0x80:
                 return None
-        if n > len(raw) - at:
+        if n > end - at:
             return None
-        value, at = raw[at : at + n], at + n
         if tag & 0x20:
-            value = der(value, depth + 1)
-            if value is None:
-                return None
-        out.append((tag, value))
-    return out
+            inner: list = []
+            out.append((tag, inner))
+            open_.append((at + n, inner))
+        else:
+            out.append((tag, raw[at : at + n]))
+            at += n
+    return top
 
 
 def private_key(raw: bytes) -> str | None:
@@ -145,57 +153,94 @@ def _decoded(s: str) -> tuple[str, bytes] | None:
     return None if raw is None else ("base64", raw)
 
 
-def scan(text: str | None, depth: int = 0) -> list[tuple[str, str, int, int, int, str]]:
+def frames(text: str):
+    """(start, end, label, body) of each framed block: an END with the last BEGIN of its label before it. Each mark is looked at once."""
+    begins: dict[str, re.Match] = {}
+    for m in FRAME.finditer(text):
+        if m.group(1) == "BEGIN":
+            begins[m.group(2)] = m
+        elif (b := begins.pop(m.group(2), None)) is not None:
+            yield b.start(), m.end(), m.group(2), text[b.end() : m.start()]
+
+
+def framed_key(body: str) -> tuple[str | None, int]:
+    """The kind and size of the private key that a frame's body encodes; its line ends may be escaped, as in string literals."""
+    body = body.replace("\\r", "").replace("\\n", "\n").replace("\r", "")
+    raw = unbase64("".join(x for x in body.split("\n\n")[-1].split() if ":" not in x))
+    if raw is None:
+        return None, 0
+    sealed = "Proc-Type:" in body and len(raw) >= 16 and len(raw) % 8 == 0
+    return "encrypted_private_key" if sealed else private_key(raw), len(raw)
+
+
+def mixed(s: str) -> bool:
+    """Small and capital letters and something else alternate as often as in what is drawn at random; in names made of words they don't."""
+    kind = [1 if c.islower() else 2 if c.isupper() else 3 for c in s]
+    return len(set(kind)) == 3 and sum(a != b for a, b in zip(kind, kind[1:])) >= 0.45 * (len(s) - 1)
+
+
+def scan(text: str | None) -> list[tuple[str, str, int, int, int, str]]:
     """(kind, form, start, end, bytes, digest) of each secret, in order; places count characters, ``digest`` is the start of the SHA-256 of the secret's text.
 
-    Of findings that overlap the first of this order stays: key blocks, signed tokens, key ids, basic credentials, assigned values, keys without a frame."""
+    What is encoded is scanned as well, as deep as it nests. Of findings that overlap the first of this order stays: key blocks, signed tokens, key ids, basic credentials,
+    assigned values, keys without a frame. Time grows with the text's length, whatever is in it."""
     found: list[tuple[str, str, int, int, int, str]] = []
+    starts: list[int] = []  # of what was found, sorted; findings don't overlap
     if not text:
         return found
 
-    def add(kind: str | None, form: str, m: re.Match, g: int, n: int) -> None:
-        a, b = m.span(g)
-        if kind and not any(a < f[3] and f[2] < b for f in found):
-            found.append((kind, form, a, b, n, hashlib.sha256(m.group(g).encode("utf-8", "replace")).hexdigest()[:16]))
-
-    for m in PEM.finditer(text):
-        body = "".join(x for x in m.group(2).split("\n\n")[-1].split() if ":" not in x)
-        raw = unbase64(body)
-        if raw is not None and "PRIVATE KEY" in m.group(1):
-            add("encrypted_private_key" if "Proc-Type:" in m.group(2) and len(raw) >= 16 and len(raw) % 8 == 0 else private_key(raw), "pem", m, 0, len(raw))
+    def add(kind: str | None, form: str, a: int, b: int, n: int) -> None:
+        if not kind:
+            return
+        k = bisect.bisect_left(starts, b)
+        if k and found[k - 1][3] > a:
+            return
+        starts.insert(k, a)
+        found.insert(k, (kind, form, a, b, n, hashlib.sha256(text[a:b].encode("utf-8", "replace")).hexdigest()[:16]))
+
+    for a, b, label, body in frames(text):
+        if "PRIVATE KEY" in label:
+            kind, n = framed_key(body)
+            add(kind, "pem", a, b, n)
     for m in TOKEN.finditer(text):
-        add(signed_token(*m.groups()), "token", m, 0, len(m.group(0)))
+        add(signed_token(*m.groups()), "token", *m.span(), len(m.group(0)))
     for m in KEY_ID.finditer(text):
-        add("access_key_id" if len(set(base64.b32decode(m.group(2)))) > 3 else None, "base32", m, 1, 10)
+        add("access_key_id" if len(set(base64.b32decode(m.group(2)))) > 3 else None, "base32", *m.span(1), 10)
     for m in BASIC.finditer(text):
         raw = unbase64(m.group(1))
         if raw and 0 < raw.find(b":") < len(raw) - 1 and all(32 <= x < 127 for x in raw):
-            add("basic_credentials", "base64", m, 1, len(raw))
+            add("basic_credentials", "base64", *m.span(1), len(raw))
     for pattern, assigned in ((ASSIGNED, True), (BLOB, False)):
         for m in pattern.finditer(text):
-            if (d := _decoded(m.group(1))) is None:
+            value = m.group(1)
+            if (d := _decoded(value)) is None:
+                # random letters and digits needn't be the whole code of any bytes; what their first part decodes to is judged
+                raw = unbase64(value[: len(value) // 4 * 4]) if assigned and "=" not in value and mixed(value) else None
+                add("assigned_secret" if raw and random_bytes(raw) else None, "base64", *m.span(1), len(raw or b""))
                 continue
             form, raw = d
             kind = private_key(raw)
-            if not kind and depth < 3 and raw.isascii() and (inner := scan(raw.decode(), depth + 1)):
+            if not kind and raw.isascii() and (inner := scan(raw.decode())):
                 kind = inner[0][0]
             # a word is valid base64 too, but base64 of random bytes has letters of both cases and something else
-            drawn = random_bytes(raw) and (form == "hex" or all(re.search(c, m.group(1)) for c in ("[a-z]", "[A-Z]", "[0-9+/_-]")))
-            add(kind or ("assigned_secret" if assigned and drawn else None), form, m, 1, len(raw))
-    return sorted(found, key=lambda f: f[2])
+            drawn = random_bytes(raw) and (form == "hex" or all(re.search(c, value) for c in ("[a-z]", "[A-Z]", "[0-9+/_-]")))
+            add(kind or ("assigned_secret" if assigned and drawn else None), form, *m.span(1), len(raw))
+    return found
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kind, form, start, end, n_bytes, digest) of each secret in each row; places are in characters from 0.
 
-    Null and empty texts have none. Repeated rows each have their findings; a null id stays null. Long texts are scanned whole. Other columns are ignored."""
+    Null and empty texts have none. Repeated rows each have their findings; a null id stays null. Long texts are scanned whole, in time that grows with their length only.
+    Of findings that overlap one stays, by the order of ``scan``. Other columns are ignored; an empty table has no rows."""
 
     def run(batches):
-        for b in batches:
+        for whole in batches:
+            b = whole.filter(pa.compute.match_substring_regex(whole.column(1), ANY))
             hits = [(i, *f) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for f in scan(text)]
             cols = list(zip(*hits)) or [()] * 7
             types = (b.schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "kind", "form", "start", "end", "n_bytes", "digest"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where(F.col("t").rlike(ANY))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where("t <> ''")
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, kind string, form string, start bigint, end bigint, n_bytes bigint, digest string")

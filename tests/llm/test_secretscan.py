@@ -80,3 +80,42 @@ def test_odd_rows_and_empty(spark):
     t = "token=" + noise[:20].hex()
     got = S.find_secrets(table(spark, [(None, t, None, None), (1, t, "en", "a"), (1, t, "en", "a")])).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None"] and all(r.start == 6 and r.end == 46 for r in got)
+
+
+def test_frames_pair_with_the_nearest_begin_and_line_ends_may_be_escaped():
+    lines = [b64(pkcs8)[i : i + 64] for i in range(0, len(b64(pkcs8)), 64)]
+    head, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    for eol in ("\n", "\r\n", "\\n", "\\r\\n"):
+        assert kinds(eol.join([head, *lines, end])) == ["pkcs8_private_key"], eol
+    assert kinds(f"{head} is how it starts\n" + "\n".join([head, *lines, end])) == ["pkcs8_private_key"]
+    for eol in ("\n", "\r\n"):
+        sealed_lines = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,00", "", *[b64(noise[:64])[i : i + 64] for i in (0, 64)]]
+        assert kinds(eol.join([head.replace("PRIV", "RSA PRIV"), *sealed_lines, end.replace("PRIV", "RSA PRIV")])) == ["encrypted_private_key"]
+
+
+def test_assigned_values_needn_t_be_whole_codes():
+    for n in (21, 22, 25):
+        value = b64(noise[:40]).replace("+", "a").replace("/", "B")[:n]
+        assert S.unbase64(value) is None and kinds(f"password: {value}") == ["assigned_secret"], value
+    for clean in ("theUserTokenFromHeader2", "internationalisation12", "MyLongIdentifierName22", "ABCDEFGHIJKLMNOPQRSTU"):
+        assert kinds(f"token = {clean}") == [], clean
+
+
+def test_as_deep_as_it_nests():
+    text = "token=" + noise[:20].hex()
+    for _ in range(9):
+        text = "x " + b64((text + " and more text").encode())
+        assert kinds(text) == ["assigned_secret"]
+    raw = b""
+    for _ in range(5000):
+        raw = tlv(0x30, raw)
+    assert S.der(raw) is not None and S.der(raw + b"\0") is None and S.private_key(raw) is None
+
+
+def test_long_hostile_texts_take_time_in_proportion():
+    import time
+
+    for t in ("-----BEGIN A-----" * 60_000, "-----BEGIN PRIVATE KEY-----" * 30_000 + "-----END PRIVATE KEY-----" * 9_000, "eyJaaaaaaaa.bb." * 70_000, "eyJ" * 340_000, "password=" * 110_000, "token" + " " * 1_000_000, ("token" + " " * 5) * 100_000, "a" * 1_000_000, "password=b7db7aa4a5fcc78305 " * 38_000, (b"\x30\x80" * 250_000).hex()):
+        start = time.process_time()
+        S.scan(t)
+        assert time.process_time() - start < 2.5, t[:30]
