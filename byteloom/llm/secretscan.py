@@ -176,7 +176,7 @@ def framed_key(body: str) -> tuple[str | None, int]:
 def mixed(s: str) -> bool:
     """Small and capital letters and something else alternate as often as in what is drawn at random; in names made of words they don't."""
     kind = [1 if c.islower() else 2 if c.isupper() else 3 for c in s]
-    return len(set(kind)) == 3 and sum(a != b for a, b in zip(kind, kind[1:])) >= 0.45 * (len(s) - 1)
+    return len(set(kind)) == 3 and sum(a != b for a, b in zip(kind, kind[1:])) >= 0.42 * (len(s) - 1)
 
 
 def scan(text: str | None) -> list[tuple[str, str, int, int, int, str]]:
