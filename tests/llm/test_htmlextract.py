@@ -1,5 +1,7 @@
+import time
 from collections import defaultdict
 
+import pytest
 from helpers import SF, table
 
 from byteloom.llm import htmlextract as H
@@ -22,7 +24,70 @@ def test_parse_tolerates_what_pages_have():
     deep = "<div>" * 30_000 + "x" + "</div>" * 10
     assert H.text_of(H.parse(deep)) == "x"
     for junk in ("<", "<>", "</", "<!", "<!--", "< p>", "<a b=\"c", "<table><tr><td>a<td>b<tr><td>c", "\0<p\0>"):
-        H.extract(junk, []), H.votes(junk)
+        H.extract(junk, {}), H.vote(junk)
+
+
+def reference_text(markup):
+    """What a browser's parser makes of simple markup, by another parser: the text in block lines."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        out = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.out += "\n" if tag in H.BLOCK else ""
+
+        handle_endtag = lambda self, tag: self.handle_starttag(tag, ())
+
+        def handle_data(self, data):
+            self.out += data
+
+    p = P()
+    p.feed(markup)
+    p.close()
+    return "\n".join(x for line in p.out.split("\n") if (x := " ".join(line.split())))
+
+
+def test_text_against_another_parser():
+    import random
+
+    r = random.Random(4)
+    for _ in range(300):
+        tags = [r.choice(["div", "p", "b", "section", "ul", "li", "span", "h2", "a"]) for _ in range(r.randint(1, 12))]
+        parts = []
+        for t in tags:
+            parts += [f"<{t} class=c{r.randint(0, 3)} title='x>y'>", r.choice(["one", " two &amp; three ", "", "x < y "]), r.choice([f"</{t}>", "", "</i>"])]
+        markup = "".join(parts)
+        assert H.text_of(H.parse(markup)) == reference_text(markup), markup
+
+
+def test_slashes_close_nothing():
+    for markup in ("<div/><p>a</p></div>", "<a href=/x/>a</a>", "<br/>a"):
+        assert H.text_of(H.parse(markup)) == "a"
+    assert H.path(H.parse("<div/><p>a").kids[0].kids[0]) == "div>p"
+    assert H.text_of(H.parse("<a href=/x/>b</a>").kids[0]) == "b"
+
+
+def test_hashes_of_paths():
+    root = H.parse("<html><body><table><tbody><tr class=b><td>x")
+    node = root
+    while node.kids and isinstance(node.kids[0], H.Node):
+        node = node.kids[0]
+    assert H.path(node) == "body>table>tr.b>td" and node.key == H.key_of("body>table>tr.b>td")
+
+
+def test_every_path_of_a_host_counts(spark):
+    """A host of eight templates: each page is extracted at its own template's path."""
+    rows = [(10 * k + j, "http://h.org/", page(f"<div class='{'abcdefgh'[k]}'><p>{STORY}</div>", f"<div class=z><p>{STORY * 3}</div>" if j == 9 else "")) for k in range(8) for j in range(10)]
+    got = H.main_text(pages(spark, rows)).collect()
+    assert all(r.path == f"body>div.{'abcdefgh'[r.page_id // 10]}" and r.text == STORY.strip() for r in got)
+
+
+def test_long_hostile_pages_take_time_in_proportion():
+    for markup in ("<div>" * 200_000, "<div>some text that is long enough to count, yes" * 20_000, "<a " * 333_000 + '"', '<a "x"' * 160_000 + "'", '<a ">"' * 160_000 + "'", "<script>" + "</script " * 110_000, "<div>" * 100_000 + "</span>" * 60_000, "<ul><li>" * 60_000, "<div class=" + "class " * 160_000, "<" * 1_000_000):
+        start = time.process_time()
+        H.extract(markup, {H.vote(markup): 1})
+        assert time.process_time() - start < 8, markup[:30]  # two parses
 
 
 def test_general_paths():
@@ -42,26 +107,32 @@ def test_the_host_decides(spark):
     assert got[0].text == STORY.strip() + "\n" + STORY.strip()
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     rows = df.collect()
     from urllib.parse import urlsplit
 
     sums = defaultdict(lambda: defaultdict(int))
     for r in rows:
-        for p, v in H.votes(r.html).items():
-            sums[urlsplit(r.url).hostname][p] += round(v * 1e6)
+        if (v := H.vote(r.html)) is not None:
+            sums[urlsplit(r.url).hostname][v] += 1
     want = {}
     for r in rows:
         host = urlsplit(r.url).hostname
-        ranked = [p for p, _ in sorted(sums[host].items(), key=lambda x: (-x[1], x[0]))][: H.RUNNERS_UP]
-        want[r.page_id] = (host, *H.extract(r.html, ranked))
+        ranked = sorted(sums[host], key=lambda p: (-sums[host][p], p - (1 << 64) * (p >> 63)))
+        want[r.page_id] = (host, *H.extract(r.html, {p: k for k, p in enumerate(ranked)}))
     got = {r.page_id: (r.host, r.path, r.text) for r in H.main_text(df).collect()}
     assert got == want and all(p == "body>article" for _, p, _ in got.values())
+    # as above where the winners are too many to be sent to all, and hosts have several parts
+    monkeypatch.setattr(H, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(H, "HOST_PAGES", 3)
+    assert {r.page_id: (r.host, r.path, r.text) for r in H.main_text(df).collect()} == want
     assert not any("track(" in t or "Released" == t for _, _, t in got.values())
 
 
-def test_odd_rows_and_empty(spark):
+@pytest.mark.parametrize("limit", [H.BROADCAST_BYTES, 0])
+def test_odd_rows_and_empty(spark, monkeypatch, limit):
+    monkeypatch.setattr(H, "BROADCAST_BYTES", limit)
     big = page("<article><p>" + "word, " * 100_000 + "</article>")
     rows = [(1, None, page(f"<article><p>{STORY}</article>")), (2, "http://x.org/", None), (3, "not a url", ""), (None, "http://x.org/", big), (4, "http://x.org/", "plain"), (4, "http://x.org/", "plain")]
     got = {(r.page_id, r.text[:20], r.path) for r in H.main_text(pages(spark, rows)).collect()}
