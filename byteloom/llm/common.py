@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from byteloom._ship import by_value
 
@@ -61,6 +62,18 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def below(share: float) -> int:
+    """What a signed 64-bit hash is at most with probability ``share``; above 0 rows, never a test that no hash can pass."""
+    return min((1 << 63) - 1, max(0, int(share * 2.0**64)) - (1 << 63))
+
+
+def whole_number(df: DataFrame, col: str) -> None:
+    """Raises TypeError unless the column holds integers, or nulls alone; ids of another type would fail or become null where they're needed as numbers."""
+    kind = df.schema[col].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"the ids in {col!r} must be integers, not {kind.simpleString()}")
+
+
 def free(name: str, df: DataFrame) -> str:
     """``name``, made longer until no column of ``df`` has it."""
     have = {c.lower() for c in df.columns}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byteloom._ship import by_value
-from byteloom.llm.common import small
+from byteloom.llm.common import below, small
 
 by_value(__name__)
 
@@ -188,16 +188,10 @@ class Scorer:
         return named, sure
 
 
-def slices(batches, rows: int = 500):
+def in_parts(batches, rows: int = 500):
     """The batches in parts, so that few texts are Python strings at a time."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
-def below(share: float) -> int:
-    """What a signed 64-bit hash is at most with probability ``share``; above 0 rows, never a test that no hash can pass."""
-    return min((1 << 63) - 1, max(0, int(share * 2.0**64)) - (1 << 63))
+        yield from pa.Table.from_batches([b]).to_batches(max_chunksize=rows)
 
 
 def fit_on(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_labelled: int = MAX_LABELLED) -> dict:
@@ -229,7 +223,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for b in slices(batches):
+        for b in in_parts(batches):
             named, sure = scorer.identify(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(named, pa.string()), pa.array(sure, pa.float64()), pa.array([x == UNKNOWN for x in named], pa.bool_())], ["doc_id", "language", "confidence", "rejected"])
 
@@ -244,7 +238,7 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for b in slices(batches):
+        for b in in_parts(batches):
             named, _ = scorer.identify(b.column(at).to_pylist())
             yield b.filter(pa.array([x != UNKNOWN for x in named], pa.bool_()))
 

@@ -14,19 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byteloom._ship import by_value
-from byteloom.llm.common import words
+from byteloom.llm.common import below, small, table, whole_number, words
 
 by_value(__name__)
 
 #: Labelled documents that the network is trained on, about, a quarter of them toxic if there are enough.
 MAX_LABELLED = 3600
-WINDOW, STRIDE = 64, 48
+#: Every passage of STRIDE words and one lies whole in a window.
+WINDOW, STRIDE = 64, 32
 WORDS, TRIGRAMS = 65_536, 16_384
 #: Documents that a word must occur in to have a vector of its own; rarer ones would only be learnt by heart.
 COMMON = 3
 DIM, HIDDEN, ATTENTION = 12, 16, 16
-#: Rounds of training, after each of which windows are chosen anew; passes over them and steps of a round, at most; windows of a step.
-ROUNDS, PASSES, STEPS, BATCH, RATE = 5, 2, 200, 128, 0.01
+#: Rounds of training, after each of which windows are chosen anew; passes over all that are chosen; windows of a step.
+ROUNDS, PASSES, BATCH, RATE = 5, 1, 128, 0.01
+#: Clean windows that a round takes for each toxic one: half of them those that score highest, half drawn.
+CLEAN = 3
 #: Labels are taken to be so much less than sure, which keeps scores apart at the ends.
 SMOOTH = 0.02
 #: Words whose projections a task keeps.
@@ -74,26 +77,29 @@ def project(m: dict, x: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate([pad, x @ m["w" + d] + m["c" + d]]) for d in "fb"]
 
 
-def _gru(p: np.ndarray, idx: np.ndarray, u: np.ndarray, steps, keep: list | None) -> np.ndarray:
-    h = np.zeros((idx.shape[0], HIDDEN), np.float32)
-    out = np.empty((idx.shape[1], idx.shape[0], HIDDEN), np.float32)
-    for t in steps:
-        g, hu = p[idx[:, t]], h @ u
-        zr = sigmoid(g[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(g[:, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
+def _gru(p: list[np.ndarray], idx: np.ndarray, u: np.ndarray, keep: list | None) -> np.ndarray:
+    """States (steps, 2, windows, HIDDEN) of both directions, each in its own order of steps: the second reads from the end."""
+    seq = idx.T
+    x = np.stack([p[0][seq], p[1][seq[::-1]]], axis=1)
+    h = np.zeros((2, idx.shape[0], HIDDEN), x.dtype)
+    out = np.empty((idx.shape[1], *h.shape), x.dtype)
+    for t, g in enumerate(x):
+        hu = h @ u
+        zr = sigmoid(g[..., : 2 * HIDDEN] + hu[..., : 2 * HIDDEN])
+        z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
+        n = np.tanh(g[..., 2 * HIDDEN :] + r * hu[..., 2 * HIDDEN :])
         new = n + z * (h - n)
         if keep is not None:
-            keep.append((t, h, z, r, n, hu[:, 2 * HIDDEN :]))
+            keep.append((h, z, r, n, hu[..., 2 * HIDDEN :]))
         out[t] = h = new
     return out
 
 
 def forward(m: dict, p: list[np.ndarray], idx: np.ndarray, keep: dict | None = None) -> np.ndarray:
     """Logits of windows, given as rows of ``p`` with 0 for padding at the end."""
-    steps = range(idx.shape[1])
-    kept = [None, None] if keep is None else [[], []]
-    h = np.concatenate([_gru(p[0], idx, m["uf"], steps, kept[0]), _gru(p[1], idx, m["ub"], reversed(steps), kept[1])], axis=2)
+    kept = None if keep is None else []
+    both = _gru(p, idx, np.stack([m["uf"], m["ub"]]), kept)
+    h = np.concatenate([both[:, 0], both[::-1, 1]], axis=2)
     a = np.tanh(h @ m["wa"] + m["ba"])
     e = np.where(idx.T > 0, a @ m["va"], np.float32(-1e9))
     e = np.exp(e - e.max(axis=0))
@@ -112,8 +118,8 @@ def row_sums(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own[first], np.add.reduceat(values[order], first, axis=0) if len(own) else values[:0]
 
 
-def backward(m: dict, p: list[np.ndarray], idx: np.ndarray, k: dict, dlogit: np.ndarray) -> tuple[dict, list[np.ndarray]]:
-    """Gradients of the dense weights, and of ``p``."""
+def backward(m: dict, p: list[np.ndarray], idx: np.ndarray, k: dict, dlogit: np.ndarray) -> tuple[dict, tuple[np.ndarray, np.ndarray]]:
+    """Gradients of the dense weights but the inputs', and by direction those of the gate inputs at each place (steps, windows)."""
     g = {"wo": k["c"].T @ dlogit, "bo": dlogit.sum(keepdims=True)}
     dc = dlogit[:, None] * m["wo"]
     de = np.einsum("nh,tnh->tn", dc, k["h"])
@@ -123,24 +129,23 @@ def backward(m: dict, p: list[np.ndarray], idx: np.ndarray, k: dict, dlogit: np.
     g["wa"] = np.einsum("tnh,tna->ha", k["h"], da, optimize=True)
     g["ba"] = da.sum(axis=(0, 1))
     dh_all = k["e"][:, :, None] * dc + da @ m["wa"].T
-    dp = []
-    for j, d in enumerate("fb"):
-        u, half = m["u" + d], dh_all[:, :, j * HIDDEN : (j + 1) * HIDDEN]
-        gu, dh, grad = np.zeros_like(u), np.zeros((idx.shape[0], HIDDEN), np.float32), np.zeros_like(p[j])
-        every = np.empty((idx.shape[1], idx.shape[0], 3 * HIDDEN), grad.dtype)
-        for t, h, z, r, n, hun in reversed(k["kept"][j]):
-            dh = dh + half[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            gates = np.concatenate([dh * (h - n) * z * (1 - z), dn * hun * r * (1 - r), dn], axis=1)
-            dhu = np.concatenate([gates[:, : 2 * HIDDEN], dn * r], axis=1)
-            every[t] = gates
-            gu += h.T @ dhu
-            dh = dh * z + dhu @ u.T
-        rows, sums = row_sums(idx.T.reshape(-1), every.reshape(-1, 3 * HIDDEN))
-        grad[rows] = sums
-        grad[0] = 0
-        g["u" + d], _ = gu, dp.append(grad)
-    return g, dp
+    u, steps = np.stack([m["uf"], m["ub"]]), idx.shape[1]
+    gu, dh = np.zeros_like(u), np.zeros((2, idx.shape[0], HIDDEN), u.dtype)
+    every = np.empty((2, steps, idx.shape[0], 3 * HIDDEN), u.dtype)
+    ut = np.ascontiguousarray(u.transpose(0, 2, 1))
+    for t in reversed(range(steps)):
+        h, z, r, n, hun = k["kept"][t]
+        dh = dh + np.stack([dh_all[t, :, :HIDDEN], dh_all[steps - 1 - t, :, HIDDEN:]])
+        dn = dh * (1 - z) * (1 - n * n)
+        gates = every[:, t]
+        gates[..., :HIDDEN] = dh * (h - n) * z * (1 - z)
+        gates[..., HIDDEN : 2 * HIDDEN] = dn * hun * r * (1 - r)
+        dhu = np.concatenate([gates[..., : 2 * HIDDEN], dn * r], axis=2)
+        gates[..., 2 * HIDDEN :] = dn
+        gu += h.transpose(0, 2, 1) @ dhu
+        dh = dh * z + dhu @ ut
+    g["uf"], g["ub"] = gu
+    return g, (every[0], every[1, ::-1])
 
 
 def train_step(m: dict, state: dict, feats, idx: np.ndarray, y: np.ndarray, rate: float) -> float:
@@ -150,11 +155,16 @@ def train_step(m: dict, state: dict, feats, idx: np.ndarray, y: np.ndarray, rate
     keep: dict = {}
     logit = forward(m, p, idx, keep)
     prob = sigmoid(logit)
-    g, dp = backward(m, p, idx, keep, ((prob - (y * (1 - 2 * SMOOTH) + SMOOTH)) / len(y)).astype(np.float32))
-    dx = 0
-    for j, d in enumerate("fb"):
-        g["w" + d], g["c" + d] = x.T @ dp[j][1:], dp[j][1:].sum(axis=0)
-        dx = dx + dp[j][1:] @ m["w" + d].T
+    g, gates = backward(m, p, idx, keep, ((prob - (y * (1 - 2 * SMOOTH) + SMOOTH)) / len(y)).astype(np.float32))
+    place = idx.T.reshape(-1)
+    real = np.flatnonzero(place)
+    place, moved = place[real] - 1, 0
+    own = x[place]
+    for e, d in zip(gates, "fb"):
+        e = e.reshape(-1, 3 * HIDDEN)[real]
+        g["w" + d], g["c" + d] = own.T @ e, e.sum(axis=0)
+        moved = moved + e @ m["w" + d].T
+    dx = row_sums(place, moved)[1]  # every word is at some place
     norm = math.sqrt(sum(float((v * v).sum()) for v in g.values()))
     scale = min(1.0, 5.0 / (norm + 1e-9))
     state["t"] = t = state.get("t", 0) + 1
@@ -184,6 +194,28 @@ def windows(n: int) -> list[tuple[int, int]]:
     return [(k * STRIDE, min(n, k * STRIDE + WINDOW)) for k in range(last + 1)]
 
 
+def window_table(docs: list[np.ndarray]) -> np.ndarray:
+    """All windows over texts given as arrays of word numbers from 1: a row each, 0 behind its end."""
+    idx = np.zeros((sum(len(windows(len(d))) for d in docs), WINDOW), np.int32)
+    k = 0
+    for d in docs:
+        for a, b in windows(len(d)):
+            idx[k, : b - a] = d[a:b]
+            k += 1
+    return idx
+
+
+def probabilities(m: dict, p: list[np.ndarray], idx: np.ndarray) -> np.ndarray:
+    """Of each window of a table; windows of alike length go together, so that short ones take fewer steps."""
+    out = np.zeros(len(idx), np.float32)
+    sizes = (idx > 0).sum(axis=1)
+    order = np.argsort(sizes, kind="stable")
+    for i in range(0, len(idx), 1024):
+        own = order[i : i + 1024]
+        out[own] = sigmoid(forward(m, p, idx[own, : int(sizes[own[-1]])]))
+    return out
+
+
 class Reader:
     """Scores texts with a model; keeps the projections of words that it has met."""
 
@@ -207,26 +239,22 @@ class Reader:
             fresh = list(at)[known:]
             x = inputs(self.m, features(fresh))
             self.p = [np.concatenate([old, new[1:]]) for old, new in zip(self.p, project(self.m, x))]
-        spans = [windows(len(d)) for d in docs]
-        idx = np.zeros((sum(map(len, spans)), WINDOW), np.int32)
-        k = 0
-        for d, own in zip(docs, spans):
-            for a, b in own:
-                idx[k, : b - a] = d[a:b]
-                k += 1
-        out = np.zeros(len(idx), np.float32)
-        # windows of alike length together; short ones take fewer steps
-        order = np.argsort((idx > 0).sum(axis=1), kind="stable") if len(idx) else np.zeros(0, np.int64)
-        for i in range(0, len(idx), 4096):
-            own = order[i : i + 4096]
-            out[own] = sigmoid(forward(self.m, self.p, idx[own, : int((idx[own[-1]] > 0).sum())]))
-        return np.split(out, np.cumsum([len(s) for s in spans])[:-1])
-
-
-def fit(rows: list[tuple[int, str, int]]) -> dict:
+        return np.split(probabilities(self.m, self.p, window_table(docs)), np.cumsum([len(windows(len(d))) for d in docs])[:-1])
+
+
+def some_features(feats, own: np.ndarray):
+    """The ``features`` of the words numbered ``own``."""
+    rows, grams, starts = feats
+    n = np.diff(np.append(starts, len(grams)))[own]
+    first = np.cumsum(n) - n
+    return rows[own], grams[np.arange(n.sum()) + np.repeat(starts[own] - first, n)], first
+
+
+def fit(rows: list[tuple[int, str, int]], clean: int = CLEAN, common: int = COMMON) -> dict:
     """Model and threshold from (id, text, 0 or 1). A fifth of the documents, by id, is kept for the threshold of the best F1 on them.
 
-    With fewer than two documents of a class there is nothing to learn: the threshold is above 1, and nothing is toxic."""
+    A round goes PASSES times over all windows that it chooses: those of toxic documents that the network finds worst, and ``clean`` times as many clean ones, or all. Words in
+    fewer than ``common`` documents have no vector of their own. With fewer than two documents of a class there is nothing to learn: the threshold is above 1, and nothing is toxic."""
     import xxhash
 
     rows = sorted((i, t, y) for i, t, y in rows if t and words(t))
@@ -235,40 +263,41 @@ def fit(rows: list[tuple[int, str, int]]) -> dict:
     used = [r for r in rows if xxhash.xxh3_64_intdigest(str(r[0]), 3) % 5]
     if min(sum(y for *_, y in used), sum(1 - y for *_, y in used)) < 2:
         return {"model": m, "threshold": 2.0}
-    texts = [words(t) for _, t, _ in used]
-    spans = [(d, a, b) for d, own in enumerate(texts) for a, b in windows(len(own))]
-    doc, label = np.array([d for d, _, _ in spans]), np.array([y for *_, y in used], np.float32)
+    at: dict[str, int] = {}
+    texts = [np.array([at.setdefault(w, len(at)) for w in words(t)], np.int32) + 1 for _, t, _ in used]
+    idx, feats = window_table(texts), features(list(at))
+    sizes = (idx > 0).sum(axis=1)
+    doc, label = np.repeat(np.arange(len(used)), [len(windows(len(x))) for x in texts]), np.array([y for *_, y in used], np.float32)
     r = np.random.default_rng(1)
     seen = np.zeros(WORDS, np.int64)
     for own in texts:
-        seen[np.unique(features(list(set(own)))[0])] += 1
-    state["common"] = seen >= COMMON
+        seen[np.unique(feats[0][np.unique(own) - 1])] += 1
+    state["common"] = seen >= common
     m["ew"][~state["common"]] = 0
     for turn in range(ROUNDS):
-        pick = np.arange(len(spans))
+        pick = np.arange(len(idx))
         if turn:
-            s = np.concatenate(Reader(m).scores([t for _, t, _ in used]))
+            s = probabilities(m, project(m, inputs(m, feats)), idx)
             best = np.zeros(len(used), np.float32)
             np.maximum.at(best, doc, s)
             # of a toxic document the windows near its worst one, if any is likely, as labels may be wrong; of others all
             pick = np.flatnonzero((label[doc] == 0) | (s >= np.maximum(0.5, 0.8 * best[doc])))
         good, bad = pick[label[doc[pick]] == 0], pick[label[doc[pick]] == 1]
-        if len(good) > 3 * len(bad):  # the clean windows that score highest, and as many drawn from the others
-            k = 3 * len(bad) // 2
+        if len(good) > clean * len(bad):  # the clean windows that score highest, and as many drawn from all
+            k = clean * len(bad) // 2
             hard = good[np.argsort(-s[good], kind="stable")[:k]] if turn else good[:0]
-            good = np.union1d(hard, r.choice(good, 3 * len(bad) - len(hard), replace=False))
+            good = np.union1d(hard, r.choice(good, clean * len(bad) - len(hard), replace=False))
         if not len(bad):
             break
         pick = np.concatenate([good, bad])
-        order = np.concatenate([r.permutation(pick) for _ in range(PASSES)])[: STEPS * BATCH]
+        order = np.concatenate([r.permutation(pick) for _ in range(PASSES)])
         for i in range(0, len(order), BATCH):
             own = order[i : i + BATCH]
-            at: dict[str, int] = {}
-            idx = np.zeros((len(own), WINDOW), np.int32)
-            for k, w in enumerate(own):
-                d, a, b = spans[w]
-                idx[k, : b - a] = [at.setdefault(x, len(at)) + 1 for x in texts[d][a:b]]
-            train_step(m, state, features(list(at)), idx, label[doc[own]], RATE * (1 - turn / ROUNDS))
+            part = idx[own, : sizes[own].max()]
+            met, place = np.unique(part, return_inverse=True)
+            # the padding keeps number 0, whether a window has any or not
+            place = place.reshape(part.shape) + (met[0] > 0)
+            train_step(m, state, some_features(feats, met[met > 0] - 1), place, label[doc[own]], RATE * (1 - turn / ROUNDS))
     check = aside if len({y for *_, y in aside}) == 2 else used
     worst = np.array([x.max() for x in Reader(m).scores([t for _, t, _ in check])])
     y = np.array([y for *_, y in check])
@@ -277,34 +306,37 @@ def fit(rows: list[tuple[int, str, int]]) -> dict:
     at = int(np.argmax(f1))
     best = cuts[at]
     below = worst[worst < best]
-    # a quarter of the way to the next lower score, which was rejected
-    return {"model": m, "threshold": float((3 * best + below.max()) / 4) if len(below) else float(best)}
+    # half of the way to the next lower score, which was rejected
+    return {"model": m, "threshold": float((best + below.max()) / 2) if len(below) else float(best)}
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id_col: str, label_col: str, max_labelled: int) -> dict:
+def fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id_col: str, label_col: str, max_labelled: int, **how) -> dict:
     """Trains on about ``max_labelled`` documents, chosen by a hash of their ids, up to a quarter of them toxic."""
     y = labels.where(F.col(label_id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(label_id_col).cast("bigint").alias("i")).agg(F.max(label_col).cast("int").alias("y"))
     n = {r.y: r["count"] for r in y.groupBy("y").count().collect()}
-    share = F.when(F.col("y") == 1, max_labelled / 4 / max(1, n.get(1, 0))).otherwise(max_labelled * 3 / 4 / max(1, n.get(0, 0)))
-    y = y.where(F.pmod(F.xxhash64("i", F.lit(23)), F.lit(1_000_000)) < share * 1_000_000)
+    limit = {k: below(min(1.0, max_labelled * part / max(1, n.get(k, 0)))) for k, part in ((1, 0.25), (0, 0.75))}
+    y = table(y.where(F.xxhash64("i", F.lit(23)) <= F.when(F.col("y") == 1, limit[1]).otherwise(limit[0])))
     text = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    rows = text.join(F.broadcast(y), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).collect()  # y is bounded by max_labelled
-    return fit([(r.i, r.t, r.y) for r in rows])
+    rows = text.join(small(y, y.count(), 16), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).collect()  # bounded by max_labelled
+    return fit([(r.i, r.t, r.y) for r in rows], **how)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, clean: int = CLEAN, common: int = COMMON) -> DataFrame:
     """(doc_id, score, toxic, n_windows, worst_word) of every row; worst_word is the place, in words, where the worst window starts.
 
     Null texts and texts without words have no windows, score 0 and aren't toxic. Repeated rows each have a row; a null id stays null. Labels that are neither 0 nor 1 don't
-    count; of several labels of a document the greatest does. Without labels of both classes nothing is toxic. Other columns are ignored; an empty table gives an empty one."""
-    fitted = fit_on(docs, labels, id_col, text_col, label_id_col, label_col, max_labelled)
+    count; of several labels of a document the greatest does. Without labels of both classes nothing is toxic. Other columns are ignored; an empty table gives an empty one.
+    Of windows that score the same the first is the worst. Long texts are scored whole, in all their windows. Ids, of documents and of labels, must be integers.
+
+    The network is trained on about ``max_labelled`` labelled documents, which alone bounds its work; ``clean`` and ``common`` are those of ``fit``."""
+    whole_number(docs, id_col), whole_number(labels, label_id_col)
+    fitted = fit_on(docs, labels, id_col, text_col, label_id_col, label_col, max_labelled, clean=clean, common=common)
     shared = docs.sparkSession.sparkContext.broadcast(fitted)  # of fixed size
 
     def run(batches):
         reader, threshold = Reader(shared.value["model"]), shared.value["threshold"]
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for b in pa.Table.from_batches([whole]).to_batches(max_chunksize=1000):
                 got = reader.scores(b.column(1).to_pylist())
                 top = [float(s.max()) if len(s) else 0.0 for s in got]
                 cols = [b.column(0), pa.array(top, pa.float64()), pa.array([bool(len(s)) and x >= threshold for s, x in zip(got, top)], pa.bool_())]
