@@ -3,24 +3,30 @@
 A document's fingerprint has 256 bits: for each bit the majority over its distinct words' hashes. Two documents are near copies if their fingerprints differ in at most
 RADIUS bits, or if a chain of such pairs links them.
 
-Fingerprints are spread over shards: TABLES times 16 of the 256 bits, drawn once, are a shard's key. Each shard has a BK-tree, whose children are keyed by their integer
-Hamming distance to the parent, and each of its members is a query that follows only edges within RADIUS of its own distance to the node. Trees of a shard and its
-queries meet in one task: a tree goes to the task that has all queries that can enter it, and nothing that grows with the corpus goes to all executors."""
+Fingerprints are spread over shards: so many times (32, or more for very many fingerprints) some of the 256 bits, drawn once, are a shard's key, 16 bits or as many as
+leave about MEMBERS unrelated fingerprints in a shard. Each shard has a BK-tree, whose children are keyed by their integer Hamming distance to the parent, and each of its
+members is a query that follows only edges within RADIUS of its own distance to the node. Trees of a shard and its queries meet in one task, shard after shard: a tree goes to
+the task that has all queries that can enter it, and nothing that grows with the corpus goes to all executors."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byteloom._ship import by_value
-from byteloom.llm.common import once, table, without, words
+from byteloom.llm.common import once, table, whole_number, without, words
 
 by_value(__name__)
 
 BITS, RADIUS = 256, 40
-TABLES, KEY_BITS = 32, 16
+#: Keys of a fingerprint and their bits, as long as shards have no more than MEMBERS fingerprints that are drawn at random.
+TABLES, KEY_BITS, MEMBERS = 32, 16, 256
+#: Rows of a task, about, once there are 200 tasks; fingerprints that are searched at once, but for a shard that has more.
+TASK_ROWS, TOGETHER = 4_000_000, 1 << 17
 #: Pairs of query and node that are held at once.
 CHUNK = 1 << 20
 
@@ -148,15 +154,21 @@ def components(n: int, pairs) -> np.ndarray:
     return root
 
 
-def _tables() -> np.ndarray:
-    return np.array([np.random.default_rng(1000 + t).choice(BITS, KEY_BITS, replace=False) for t in range(TABLES)])
+def shape(n: int) -> tuple[int, int]:
+    """How many keys, of how many bits, ``n`` fingerprints have.
+
+    A bit more in the key halves the unrelated members of a shard, and takes 1 / (1 - RADIUS / BITS) times as many keys for the same chance that two fingerprints at the radius meet.
+    So the comparisons of a fingerprint are at most about MEMBERS times its keys, at every size, and its keys grow with n to the power 0.25."""
+    bits = max(KEY_BITS, math.ceil(math.log2(max(1, n) / MEMBERS)))
+    return math.ceil(TABLES * (1 - RADIUS / BITS) ** (KEY_BITS - bits)), bits
 
 
-def shard_keys(prints: np.ndarray) -> np.ndarray:
-    """(n, TABLES) keys of (n, 32) bytes; a table's keys differ from all other tables'."""
+def shard_keys(prints: np.ndarray, tables: int = TABLES, key_bits: int = KEY_BITS) -> np.ndarray:
+    """(n, tables) keys of (n, 32) bytes; a table's keys differ from all other tables'."""
     bits = np.unpackbits(prints, axis=1)
-    weights = 1 << np.arange(KEY_BITS)
-    return np.stack([bits[:, own].astype(np.int64) @ weights + (t << KEY_BITS) for t, own in enumerate(_tables())], axis=1)
+    weights = 1 << np.arange(key_bits)
+    drawn = (np.random.default_rng(1000 + t).choice(BITS, key_bits, replace=False) for t in range(tables))
+    return np.stack([bits[:, own].astype(np.int64) @ weights + (t << key_bits) for t, own in enumerate(drawn)], axis=1)
 
 
 def _sketch(batches):
@@ -165,30 +177,49 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1).to_pylist(), cache), pa.binary())], ["doc_id", "fp"])
 
 
-def _spread(batches):
-    for b in batches:
-        node = b.column(0).to_numpy(zero_copy_only=False)
-        raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-        keys = shard_keys(raw).astype(np.int32).reshape(-1)
-        rows = np.repeat(np.arange(len(node)), TABLES)
-        fp = b.column(1).take(pa.array(rows))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[rows]), fp], ["shard", "node", "fp"])
+def _spread(tables: int, key_bits: int):
+    def run(batches):
+        for b in batches:
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            keys = shard_keys(raw, tables, key_bits).reshape(-1)
+            rows = np.repeat(np.arange(len(node)), tables)
+            fp = b.column(1).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[rows]), fp], ["shard", "node", "fp"])
+
+    return run
+
+
+def _edges(data: pa.Table, radius: int) -> pa.RecordBatch:
+    """Of whole shards, sorted by shard and node: a pair of each member, but the least, and the least member of its component."""
+    shard, node = data.column(0).to_numpy(), data.column(1).to_numpy()
+    prints = np.frombuffer(b"".join(data.column(2).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    root = components(len(node), BKForest(shard, prints).links(radius))
+    far = np.flatnonzero(root != np.arange(len(node)))
+    pairs = np.unique(np.stack([node[far], node[root[far]]], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _edges_within(radius: int):
+    """Takes rows sorted by shard and node; holds some whole shards at a time."""
+
     def run(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        data = pa.Table.from_batches(batches)
-        shard, node = data.column(0).to_numpy(), data.column(1).to_numpy()
-        prints = np.frombuffer(b"".join(data.column(2).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        order = np.lexsort((node, shard))
-        shard, node, prints = shard[order], node[order], prints[order]
-        root = components(len(node), BKForest(shard, prints).links(radius))
-        far = np.flatnonzero(root != np.arange(len(node)))
-        pairs = np.unique(np.stack([node[far], node[root[far]]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        held, size, due = [], 0, TOGETHER
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size < due:
+                continue
+            data = pa.Table.from_batches(held)
+            shard = data.column(0).to_numpy()
+            cut = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
+            if cut:
+                yield _edges(data.take(pa.array(np.arange(cut))), radius)
+                data = data.take(pa.array(np.arange(cut, size)))
+            held, size = data.to_batches(), data.num_rows
+            due = max(TOGETHER, 2 * size)
+        if size:
+            yield _edges(pa.Table.from_batches(held), radius)
 
     return run
 
@@ -215,13 +246,19 @@ def find_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Words are runs of letters, digits and underscores in lower case. Texts that are null or have no words are near copies of nothing. A row without an id is in no group.
     Rows that repeat a doc_id are one document, whose first fingerprint counts, and have one row here. Other columns are ignored; an empty table gives an empty one.
 
+    Of very long texts all words count. A bit that as many words speak for as against is 0. Ids must be integers.
+
     Two documents within ``radius`` meet in a shard if they agree in all 16 bits of one of 32 keys, 998 in 1000 for those that differ in a tenth of all bits."""
+    whole_number(docs, id_col)
     if radius >= BITS // 2:
         raise ValueError("the radius must be below half the bits")
     marked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).where("doc_id is not null").mapInArrow(_sketch, "doc_id bigint, fp binary")
     prints = table(marked.groupBy("doc_id").agg(F.min("fp").alias("fp")))
     nodes = table(prints.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    spread = nodes.select("node", "fp").mapInArrow(_spread, "shard int, node bigint, fp binary").repartition("shard")
+    n = nodes.count()
+    tables, key_bits = shape(n)
+    parts = max(1, min(200, n * tables // 250_000), n * tables // TASK_ROWS)
+    spread = nodes.select("node", "fp").mapInArrow(_spread(tables, key_bits), "shard bigint, node bigint, fp binary").repartition(parts, "shard").sortWithinPartitions("shard", "node")
     edges = table(spread.mapInArrow(_edges_within(radius), "a bigint, b bigint"))
     roots = connect(edges)
     by_print = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("group_id"))

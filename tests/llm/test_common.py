@@ -3,6 +3,7 @@ from types import SimpleNamespace
 
 import pytest
 from helpers import table
+from pyspark.sql import functions as F
 
 from byteloom.llm import common as C
 
@@ -40,3 +41,39 @@ def test_keeping_rows_by_id(spark):
     one = spark.createDataFrame([(1,)], "x bigint")
     assert ids(C.without(docs, "doc_id", one)) == ["2", "None"] and ids(C.once(docs, "doc_id", one, ["doc_id", "text"])) == ["1", "2", "None"]
     assert C.free("gone", docs.withColumnRenamed("i", "GONE").withColumnRenamed("t", "gone_")) == "gone__"
+
+
+def test_sifting_loses_nothing_and_moves_little(spark, monkeypatch):
+    keys = spark.range(0, 30_000, 3).select("id")
+    rows = spark.range(60_000).selectExpr("if(id % 1000 = 7, null, id) id", "'x' bloom", "id k")
+    among, other = (C.sifted(rows, F.col("id"), keys, 10_000, x) for x in (True, False))
+    assert among.columns == rows.columns
+    hit, rest = ({r.k: r.id for r in x.collect()} for x in (among, other))
+    assert not hit.keys() & rest.keys() and len(hit) + len(rest) == 60_000 and None not in hit.values()
+    assert set(range(0, 30_000, 3)) - {k for k in range(60_000) if k % 1000 == 7} <= set(hit.values())
+    assert len(hit) < 10_000 + 0.02 * 50_000
+    plan = other._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "SortMergeJoin" not in plan
+    # too many for a filter: all may be among them
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 1000)
+    assert C.sifted(rows, F.col("id"), keys, 10_000, True).count() == 60_000 and C.sifted(rows, F.col("id"), keys, 10_000, False).isEmpty()
+    want = rows.join(keys, "id", "left_anti").count()
+    for limit in (1000, 20_000, 32 << 20):
+        monkeypatch.setattr(C, "BROADCAST_BYTES", limit)
+        assert C.without(rows, "id", keys).count() == want
+
+
+def test_tables_of_a_run_are_dropped(spark):
+    first = C.table(spark.range(3))
+    since = C.tables_so_far(spark)
+    gone, kept = C.table(spark.range(4)), C.table(spark.range(5))
+    path = gone.inputFiles()[0].removeprefix("file://")
+    C.drop_tables(spark, since, kept)
+    assert not os.path.exists(path) and kept.count() == 5 and first.count() == 3 and C.tables_so_far(spark) == since + 1
+
+
+def test_ids_must_be_whole_numbers(spark):
+    C.whole_number(spark.range(1), "id")
+    C.whole_number(spark.sql("select null id"), "id")
+    with pytest.raises(TypeError, match="'id' must be integers, not string"):
+        C.whole_number(spark.sql("select 'a-1' id"), "id")

@@ -103,3 +103,38 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert S.find_near_copies(empty(spark)).collect() == [] and S.drop_near_copies(empty(spark)).collect() == []
+
+
+def test_comparisons_stay_in_proportion(monkeypatch):
+    """Of unrelated fingerprints: with keys by the number of fingerprints the share of all pairs that is compared falls as they grow, and recall at the radius stays."""
+    assert S.shape(10**6) == (32, 16) and S.shape(1 << 24) == (32, 16)
+    tables, bits = S.shape(5 * 10**10)
+    assert bits == 28 and 200 < tables < 300
+    p = 1 - S.RADIUS / S.BITS
+    assert abs((1 - p**bits) ** tables - (1 - p**16) ** 32) < 0.02
+    monkeypatch.setattr(S, "KEY_BITS", 4)
+    monkeypatch.setattr(S, "TABLES", 4)
+    r, shares = np.random.default_rng(1), []
+    for n in (2000, 8000, 32_000):
+        tables, bits = S.shape(n)
+        raw = r.integers(0, 256, (n, 32), dtype=np.uint8)
+        keys = S.shard_keys(raw, tables, bits)
+        members = np.unique(keys, return_counts=True)[1].astype(np.int64)
+        shares.append(int((members * members).sum()) / n**2)
+    assert shares[0] > 1.5 * shares[1] and shares[1] > 2 * shares[2], shares
+
+
+def test_shards_are_searched_one_after_the_other(spark, monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(7)
+    base = r.integers(0, 256, (30, 32), dtype=np.uint8)
+    raw = base[r.integers(0, 30, 3000)]
+    raw[:, 0] = r.integers(0, 256, 3000)
+    shard = np.sort(r.integers(0, 50, 3000))
+    data = pa.Table.from_arrays([pa.array(shard), pa.array(np.arange(3000)), pa.array([x.tobytes() for x in raw], pa.binary())], ["shard", "node", "fp"])
+    want = {(a, b) for x in [S._edges(data, S.RADIUS)] for a, b in zip(*(x.column(k).to_pylist() for k in (0, 1)))}
+    for together in (1, 100, 1 << 17):
+        monkeypatch.setattr(S, "TOGETHER", together)
+        got = {(a, b) for x in S._edges_within(S.RADIUS)(iter(data.to_batches(max_chunksize=64))) for a, b in zip(*(x.column(k).to_pylist() for k in (0, 1)))}
+        assert got == want
