@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byteloom._ship import by_value
-from byteloom.llm.common import once, table, without
+from byteloom.llm.common import BROADCAST_BYTES, once, sifted, small, table, without
 
 by_value(__name__)
 
@@ -132,27 +132,30 @@ def _segments(bits: int):
 
 
 def _merged(bits: int):
-    """Fingerprints that occur more than once, from each segment's filters, merged."""
+    """Fingerprints that occur more than once, from each segment's filters, merged; takes rows sorted by segment, and holds one segment at a time."""
 
-    def run(batches):
-        parts: dict[int, CountingQuotientFilter] = {}
-        waiting: dict[int, list] = {}
+    def merged(filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+        runs = [f.items() for f in filters]
+        return CountingQuotientFilter.of(np.concatenate([p for p, _ in runs]), np.concatenate([n for _, n in runs]))
 
-        def settle(s):
-            runs = [f.items() for f in waiting.pop(s)]
-            parts[s] = CountingQuotientFilter.of(np.concatenate([p for p, _ in runs]), np.concatenate([n for _, n in runs]))
+    def repeated(s: int, filters: list[CountingQuotientFilter]):
+        prints, n = merged(filters).items()
+        prints = (prints[n > 1] >> np.uint64(bits)) | (np.uint64(s) << np.uint64(64 - bits))
+        return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n[n > 1])], ["fp", "n"])
 
+    def run(batches):
+        at, held = None, []
         for b in batches:
             for s, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                waiting.setdefault(s, [parts.pop(s)] if s in parts else []).append(CountingQuotientFilter.from_bytes(raw))
-                if len(waiting[s]) >= 64:
-                    settle(s)
-        for s in list(waiting):
-            settle(s)
-        for s, f in parts.items():
-            prints, n = f.items()
-            prints = (prints[n > 1] >> np.uint64(bits)) | (np.uint64(s) << np.uint64(64 - bits))
-            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n[n > 1])], ["fp", "n"])
+                if s != at and held:
+                    yield repeated(at, held)
+                    held = []
+                at = s
+                held.append(CountingQuotientFilter.from_bytes(raw))
+                if len(held) >= 64:
+                    held = [merged(held)]
+        if held:
+            yield repeated(at, held)
 
     return run
 
@@ -160,7 +163,8 @@ def _merged(bits: int):
 def repeated_prints(prints: DataFrame, n: int) -> DataFrame:
     """(fp, n) of the fingerprints that the single bigint column of ``prints``, of about ``n`` rows, has more than once."""
     bits = max(1, math.ceil(math.log2(max(1, n / SEGMENT))))
-    return prints.mapInArrow(_segments(bits), "segment int, filter binary").repartition("segment").mapInArrow(_merged(bits), "fp bigint, n bigint")
+    filters = prints.mapInArrow(_segments(bits), "segment int, filter binary").repartition(max(4, (1 << bits) // 4), "segment").sortWithinPartitions("segment")
+    return filters.mapInArrow(_merged(bits), "fp bigint, n bigint")
 
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", _print=None) -> DataFrame:
@@ -170,19 +174,26 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with one; if a whole group has none, keep_id is null. Repeated rows all appear, with ``duplicate`` false for each that has the kept id. Other columns are ignored.
 
     Only texts whose fingerprint the filters count more than once are compared, by grouping on the text itself; where texts differ under one fingerprint, each text is
-    its own group. ``_print`` replaces the fingerprint, for tests of such collisions."""
+    its own group. Before they move, all others are left out: by a broadcast of the repeated fingerprints if they're few, else by a Bloom filter of them of bounded size. Very long texts
+    are compared whole. Ids of equal rank are no tie: the least id is kept, whatever its type. An empty table has no rows. ``_print`` replaces the fingerprint, for tests of collisions."""
     fp = (_print or F.xxhash64)(F.col("t"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).withColumn("fp", F.when(F.col("t").isNotNull(), fp))
     again = table(repeated_prints(rows.where("fp is not null").select("fp"), docs.count())).select("fp")
-    by_text = rows.join(again, "fp").groupBy("fp", "t").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n_copies"))
+    n = again.count()
+    if n * 16 <= BROADCAST_BYTES:
+        maybe = rows.join(F.broadcast(again), "fp")
+    else:  # never a broadcast of texts, whose compressed files may look small
+        maybe = sifted(rows, F.col("fp"), again, n, True).join(again.hint("merge"), "fp")
+    by_text = maybe.groupBy("fp", "t").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n_copies"))
     groups = table(by_text.withColumn("h", F.sha2("t", 256)).drop("t"))
     texts = groups.groupBy("fp").agg(F.count("*").alias("k"), F.first("keep_id").alias("keep_id"), F.first("n_copies").alias("n_copies"))
     alone = texts.where("k = 1").select("fp", "keep_id", "n_copies")
     mixed = table(texts.where("k > 1").select("fp"))
-    plain = rows.select("doc_id", "fp")
-    if mixed.isEmpty():
+    plain, alone, n_mixed = rows.select("doc_id", "fp"), small(alone, n, 48), mixed.count()
+    if not n_mixed:
         out = plain.join(alone, "fp", "left")
     else:  # different texts under one fingerprint
+        mixed = small(mixed, n_mixed, 16)
         exact = rows.join(mixed, "fp").select("doc_id", "fp", F.sha2("t", 256).alias("h")).join(groups, ["fp", "h"]).select("fp", "doc_id", "keep_id", "n_copies")
         out = plain.join(mixed, "fp", "left_anti").join(alone, "fp", "left").unionByName(exact)
     return out.select("doc_id", F.when(F.col("n_copies").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")).withColumn("duplicate", F.col("n_copies").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keep_id")))

@@ -4,6 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from byteloom.llm import common as C
+from byteloom.llm import exact as E
 from byteloom.llm.exact import CountingQuotientFilter, drop_copies, find_copies
 
 prints = st.lists(st.one_of(st.integers(0, 2**64 - 1), st.integers(0, 5), st.integers(2**64 - 5, 2**64 - 1)), max_size=60)
@@ -64,3 +66,17 @@ def test_one_row_of_each_text_stays(spark):
 
 def test_empty(spark):
     assert find_copies(empty(spark)).collect() == [] and drop_copies(empty(spark)).collect() == []
+
+
+def test_many_repeated_fingerprints_are_sifted(spark, monkeypatch):
+    """Where the repeated fingerprints are too many to be broadcast as rows, a Bloom filter comes before the only move of texts."""
+    docs = documents(spark)
+    want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    for limit in (0, 2048, 4096):
+        monkeypatch.setattr(E, "BROADCAST_BYTES", limit // 1000)
+        monkeypatch.setattr(C, "BROADCAST_BYTES", limit)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            assert got(find_copies(docs)) == want
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
