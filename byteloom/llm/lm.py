@@ -2,7 +2,8 @@
 
 The model is counted on the corpus itself: n-gram counts of all documents but a tenth, which is held out. A word's probability mixes the maximum-likelihood estimates of
 all orders, and a uniform one, with weights that depend on how often the context was seen (by powers of two); expectation-maximisation fits the weights to the held-out
-documents. When a document that was counted is scored, each of its occurrences is first deleted from the counts it is scored with, so that all documents compare.
+documents. When a place of a document that was counted is scored, its own occurrence is first deleted from the counts it is scored with; what else the document has of the same
+n-gram stays counted.
 
 Text is worked on in chunks of about CHUNK_TOKENS tokens. Of each order a chunk sends its distinct n-grams, as sorted hashes with counts, to buckets by their first bits;
 a bucket adds up what it gets and answers each chunk. An n-gram travels once for each chunk that has it, however often it occurs: there are no hot keys, and nothing is broadcast."""
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byteloom._ship import by_value
-from byteloom.llm.common import table, words
+from byteloom.llm.common import table, whole_number, words
 
 by_value(__name__)
 
@@ -29,8 +30,8 @@ CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 2_000_000
 HELD_OUT = 10
 ROUNDS, SETTLED = 25, 1e-4
-#: Contexts are told apart by floor(log2(1 + count)), the last holds all above.
-CLASSES = 28
+#: Contexts are told apart by floor(log2(1 + count)), for all counts that a 64-bit number can be.
+CLASSES = 64
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -132,13 +133,11 @@ def _send(order: int, n: int, bits: int):
 
 
 def _answer(batches):
-    """For each bucket the sums, to each chunk in the order in which it sent its n-grams; and a row with the bucket's n-grams and their occurrences."""
-    waiting: dict[int, list] = {}
-    for b in batches:
-        for bucket, chunk, keys, times in zip(*(b.column(k).to_pylist() for k in range(4))):
-            waiting.setdefault(bucket, []).append((chunk, keys, times))
-    for bucket, own in waiting.items():
-        own.sort(key=lambda x: x[0])
+    """For each bucket the sums, to each chunk in the order in which it sent its n-grams; and a row with the bucket's n-grams and their occurrences.
+
+    Takes rows sorted by bucket and chunk, and holds one bucket at a time."""
+
+    def answered(bucket: int, own: list):
         keys = [np.cumsum(_unpack(k), dtype=np.uint64) for _, k, _ in own]
         times = [_unpack(t) for _, _, t in own]
         uniq, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -147,11 +146,22 @@ def _answer(batches):
         chunks = [c for c, _, _ in own] + [None]
         sums = [_pack(a if a.max(initial=0) >= 1 << 32 else a.astype(np.uint32)) for a in answers] + [None]
         nothing = [None] * len(own)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array([bucket] * len(chunks), pa.int64()), pa.array(chunks, pa.int64()), pa.array(sums, pa.binary()), pa.array([*nothing, int((total > 0).sum())], pa.int64()), pa.array([*nothing, int(total.sum())], pa.int64())],
             ["bucket", "chunk", "sums", "types", "tokens"],
         )
 
+    at, held = None, []
+    for b in batches:
+        for bucket, chunk, keys, times in zip(*(b.column(k).to_pylist() for k in range(4))):
+            if bucket != at and held:
+                yield answered(at, held)
+                held = []
+            at = bucket
+            held.append((chunk, keys, times))
+    if held:
+        yield answered(at, held)
+
 
 def _place(order: int):
     """The total of the n-gram of each order that ends at each place."""
@@ -288,7 +298,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     Orders are counted one after the other, so that the n-grams of one lie in shuffle files at a time.
     Tokens are words in lower case and an end; null and empty texts are an end alone, which is scored. A document is held out by its id; rows without an id never are.
     Repeated rows are counted and scored each. Of a table without held-out documents the weights are equal; of one without words only the uniform estimate counts.
-    Other columns are ignored; an empty table gives an empty one."""
+    Long texts are counted and scored whole. Ids must be integers. Other columns are ignored; an empty table gives an empty one."""
+    whole_number(docs, id_col)
     order = order or ORDER
     rows = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
     chunks = table(rows.mapInArrow(_chunks(chunk_tokens), "chunk bigint, ids array<bigint>, lens array<int>, held array<boolean>, words binary, seq binary"))
@@ -297,7 +308,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     sums = None
     for n in range(1, order + 1):
         sent = chunks.select("chunk", "lens", "held", "words", "seq").mapInArrow(_send(order, n, bits), "bucket bigint, chunk bigint, keys binary, times binary")
-        own = table(sent.repartition("bucket").mapInArrow(_answer, "bucket bigint, chunk bigint, sums binary, types bigint, tokens bigint"))
+        own = table(sent.repartition(max(16, (1 << bits) // 4), "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answer, "bucket bigint, chunk bigint, sums binary, types bigint, tokens bigint"))
         sums = own if sums is None else sums.unionByName(own)
         del sent
         _free(docs.sparkSession)
