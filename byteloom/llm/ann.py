@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byteloom._ship import by_value
-from byteloom.llm.common import table
+from byteloom.llm.common import small, table, whole_number
 
 by_value(__name__)
 
@@ -28,6 +28,8 @@ RERANK = 100
 PROBED = 1.0
 #: Vectors of a block, of members or of queries, about.
 BLOCK = 16_384
+#: Tasks of a search, at most.
+TASKS = 20_000
 LIST_ROUNDS, CODE_ROUNDS = 8, 3
 #: Inner products above this share of the norms are the ones to keep; it sets ETA.
 THRESHOLD = 0.2
@@ -218,7 +220,8 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """(vec_id, rank, neighbour_id, score) of every vector: its ``k`` other vectors of greatest inner product, by rank from 1; equal scores go by id.
 
     Vectors that are null, empty, hold a null or what isn't finite, or haven't the commonest length (of equally common ones the greatest) have no rows and are nobody's
-    neighbours; rows without an id neither. Rows that repeat an id are one vector, the least. Other columns are ignored; an empty table, and a single vector, give no rows."""
+    neighbours; rows without an id neither. Rows that repeat an id are one vector, the least. Ids must be integers. Other columns are ignored; an empty table, and a single vector, give no rows."""
+    whole_number(vectors, id_col)
     as_float = F.transform(F.col(vector_col), lambda x: x.cast("float"))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), as_float.alias("a")).where("id is not null and size(a) > 0")
     rows = rows.where(F.forall("a", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
@@ -250,8 +253,7 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         """Each vector with its list, that list's block, its codes, and the blocks that it asks as a query."""
         centres, books = kept.value
         for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                part = b.slice(i, 2048)
+            for part in pa.Table.from_batches([b]).to_batches(max_chunksize=2048):
                 x = matrix(part.column(1))
                 own = nearest(x, centres)
                 codes = encode(x, x - centres[own], books, weight)
@@ -262,15 +264,23 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 cols = [part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error_bound(x, centres, own, books, codes)), pa.array(own, pa.int64()), pa.array(of_list[own]), pa.array(asked, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "v", "code", "error", "list", "block", "asks"])
 
+    def cells(batches):
+        """The tables of one cell after the other, of rows sorted by cell."""
+        at, held = None, []
+        for b in batches:
+            own = b.column(0).to_numpy()
+            for c in np.unique(own).tolist():
+                if c != at and held:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held = []
+                at = c
+                held.append(b.filter(pa.array(own == c)))
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
     def search(batches):
         centres, books = kept.value
-        held: dict[int, list] = {}
-        for b in batches:
-            at = b.column(0).to_numpy()
-            for c in np.unique(at).tolist():
-                held.setdefault(c, []).append(b.filter(pa.array(at == c)))
-        for c in list(held):
-            t = pa.Table.from_batches(held.pop(c)).combine_chunks()
+        for t in cells(batches):
             member = t.column("code").is_valid()
             m, q = t.filter(member).sort_by("id"), t.filter(pa.compute.invert(member))
             if not m.num_rows or not q.num_rows:
@@ -290,11 +300,17 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array([f for f, _ in best], pa.list_(pa.int64())), pa.array([s for _, s in best], pa.list_(pa.float64()))], ["vec_id", "ids", "scores"])
 
     placed = table(rows.mapInArrow(place, "id bigint, v binary, code binary, error double, list bigint, block bigint, asks array<bigint>"))
-    # every block of members meets every block of the queries that ask it in a cell of its own
-    asking = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(blocks))
-    members = placed.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select((F.col("block") * blocks + F.col("a")).alias("cell"), "id", "v", "code", "error", "list")
-    queries = placed.select("id", "v", "list", asking.alias("ask"), F.explode("asks").alias("b")).select((F.col("b") * blocks + F.col("ask")).alias("cell"), "id", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error"), "list")
-    found = members.unionByName(queries).repartition(blocks * blocks, "cell").mapInArrow(search, "vec_id bigint, ids array<bigint>, scores array<double>")
+    # a block of members meets the queries that ask it, about BLOCK of them in a cell; it's copied for these cells only
+    asked = placed.select(F.explode("asks").alias("b")).groupBy("b").count().collect()  # blocks are n / BLOCK
+    groups = {r.b: -(-r["count"] // BLOCK) for r in asked}
+    first = np.cumsum([0] + [groups.get(b, 0) for b in range(blocks)])
+    shape = placed.sparkSession.createDataFrame([(b, groups[b], int(first[b])) for b in groups], "b bigint, parts bigint, first bigint")
+    cells_in_all = int(first[-1])
+    members = placed.join(small(shape, blocks, 24), F.col("block") == F.col("b")).withColumn("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select((F.col("first") + F.col("a")).alias("cell"), "id", "v", "code", "error", "list")
+    queries = placed.select("id", "v", "list", F.explode("asks").alias("b")).join(small(shape, blocks, 24), "b")
+    queries = queries.select((F.col("first") + F.pmod(F.xxhash64("id", F.lit(41)), F.col("parts"))).alias("cell"), "id", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error"), "list")
+    # cells beyond TASKS share tasks, which take one cell after the other
+    found = members.unionByName(queries).repartition(max(1, min(cells_in_all, TASKS)), "cell").sortWithinPartitions("cell").mapInArrow(search, "vec_id bigint, ids array<bigint>, scores array<double>")
     pairs = F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i")))
-    best = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("best"))
+    best = found.groupBy("vec_id").agg(F.filter(F.array_sort(F.flatten(F.collect_list(pairs))), lambda x, i: i < k).alias("best"))
     return best.select("vec_id", F.posexplode("best").alias("r", "b")).select("vec_id", (F.col("r") + 1).alias("rank"), F.col("b.i").alias("neighbour_id"), (-F.col("b.s")).alias("score"))
