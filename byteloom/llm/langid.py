@@ -216,6 +216,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """(id, language, confidence, rejected) of every row.
 
     A document is rejected where nothing in it speaks for a language: null or empty text, no letters, only unknown scripts, or a tie of all languages.
+    Where two languages have the same sum the alphabetically first is named, unless all have it. Long texts are read whole.
     Repeated rows each have a row; a null id stays null; other columns are ignored; an empty table, or one without labels, rejects all it has."""
     model = fit_on(docs, id_col, text_col, lang_col, max_labelled)
     shared = docs.sparkSession.sparkContext.broadcast(packed(model))  # bounded by max_labelled
@@ -231,7 +232,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``docs`` without the rows that ``detect`` rejects, decided row by row where the row lies; nothing is shuffled."""
+    """``docs`` without the rows that ``detect`` rejects, decided row by row where the row lies; nothing is shuffled.
+
+    So rows with null or empty texts, or without letters, go, and so do all rows where no document has a label; of repeated rows each stays or goes as the others; ids and ties
+    don't matter, all columns stay as they are, and an empty table stays empty."""
     model = fit_on(docs, id_col, text_col, lang_col, max_labelled)
     shared = docs.sparkSession.sparkContext.broadcast(packed(model))
     at = docs.columns.index(text_col)

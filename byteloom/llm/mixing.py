@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byteloom._ship import by_value
-from byteloom.llm.common import free, small, table
+from byteloom.llm.common import free, small, table, whole_number
 
 by_value(__name__)
 
@@ -96,7 +96,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     ``weights``: of each source, in proportion; a source that isn't in it has weight 0. Without them a source of n documents weighs n ** temperature.
     ``total``: documents of the mixture; without it the least at which no source with a weight loses documents.
     A null source is a source of its own. Rows that repeat an id within a source are one unit; rows without an id occur once and count for no source. Ties of the draw
-    go by id. Other columns are ignored; an empty table gives an empty one. Negative weights, or none above 0, raise ValueError."""
+    go by id. Ids must be integers. Texts don't matter. Other columns are ignored; an empty table gives an empty one. Negative weights, or none above 0, raise ValueError."""
+    whole_number(docs, id_col)
     spark = docs.sparkSession
     if weights is not None and (min(weights.values(), default=0) < 0 or not sum(weights.values())):
         raise ValueError("weights must not be negative, and one must be above 0")

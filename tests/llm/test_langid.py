@@ -82,3 +82,32 @@ def test_rare_languages_and_few_labels(spark):
     assert L.fit_on(few, "doc_id", "text", "lang", max_labelled=30)["words"]
     same = table(spark, [(7, "уже было", "ru", "a")] * 300 + [(1, "one two", "en", "a")])
     assert L.fit_on(same, "doc_id", "text", "lang", max_labelled=2)["langs"] == ["en", "ru"]
+
+
+def test_detect_against_brute_force(spark):
+    """Sums, rejection, confidence and the named language, document by document, from the scores of single words."""
+    import math
+
+    docs = documents(spark)
+    extra = table(spark, [(9001, "", "en", None), (9002, None, "en", None), (9003, "12 34", "en", None), (9004, "日本語", "de", None)]).select("doc_id", "text", "lang")
+    docs = docs.select("doc_id", "text", "lang").union(extra)
+    model = L.fit_on(docs, "doc_id", "text", "lang")
+    got = {r.doc_id: r for r in L.detect(docs).collect()}
+    for r in docs.collect():
+        own = [w for w in L.words(r.text or "") if w.isalpha()]
+        scores = [L.word_scores(model, w) for w in own]
+        sums = [math.fsum(s[k] for s, _ in scores) for k in range(len(model["langs"]))]
+        known = sum(k for _, k in scores)
+        g = got[r.doc_id]
+        if not own or known < L.MIN_KNOWN * len(own) or max(sums) - min(sums) < 1e-12:
+            assert (g.language, g.confidence, g.rejected) == (L.UNKNOWN, 0.0, True)
+            continue
+        best = max(range(len(sums)), key=lambda k: sums[k])
+        assert not g.rejected and g.language == model["langs"][best]
+        assert abs(g.confidence - 1 / sum(math.exp((s - sums[best]) / len(own)) for s in sums)) < 1e-9
+
+
+def test_a_tie_of_two_languages_goes_to_the_first(spark):
+    rows = [(k, f"same word here again {x}", lang, None) for k, (x, lang) in enumerate([("uno uno", "es"), ("uno uno", "pt"), ("drei vier", "de")])]
+    docs = table(spark, [*rows, (9, "uno uno uno", None, None)])
+    assert {r.doc_id: r.language for r in L.detect(docs).collect()}[9] == "es"

@@ -1,8 +1,9 @@
 from collections import Counter
 
 import corpus_pipeline
-from helpers import SF, documents, odd
+from helpers import SF, documents, empty, odd
 
+from byteloom.llm import common as C
 from byteloom.llm import exact, langid, simhash
 
 
@@ -37,3 +38,17 @@ def test_odd_rows(spark):
     for _, f in corpus_pipeline.STAGES:
         docs = f(spark, docs, SF)
     assert {1, 6, 11} <= {r.doc_id for r in docs.collect()}
+
+
+def test_empty(spark):
+    docs = empty(spark)
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        columns = docs.columns
+        docs = f(spark, docs, SF)
+        assert docs.collect() == [] and (k == 4 or docs.columns == columns)
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark):
+    since = C.tables_so_far(spark)
+    out = corpus_pipeline.run(spark, SF)
+    assert C.tables_so_far(spark) - since == 2 and out.count() > 0
