@@ -28,6 +28,8 @@ ORDER = 2
 CHUNK_TOKENS = 1_000_000
 #: N-grams of one bucket, about.
 BUCKET_TOKENS = 2_000_000
+#: Tasks that answer, at most; of more buckets each takes several, one after the other.
+TASKS = 65_536
 HELD_OUT = 10
 ROUNDS, SETTLED = 25, 1e-4
 #: Contexts are told apart by floor(log2(1 + count)), for all counts that a 64-bit number can be.
@@ -308,7 +310,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     sums = None
     for n in range(1, order + 1):
         sent = chunks.select("chunk", "lens", "held", "words", "seq").mapInArrow(_send(order, n, bits), "bucket bigint, chunk bigint, keys binary, times binary")
-        own = table(sent.repartition(max(16, (1 << bits) // 4), "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answer, "bucket bigint, chunk bigint, sums binary, types bigint, tokens bigint"))
+        own = table(sent.repartition(min(1 << bits, TASKS), "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answer, "bucket bigint, chunk bigint, sums binary, types bigint, tokens bigint"))
         sums = own if sums is None else sums.unionByName(own)
         del sent
         _free(docs.sparkSession)
