@@ -252,18 +252,18 @@ def clear_range(b: ColumnOrName, i: Column | int, n: Column | int) -> Column:
     return strict(within(i, n, length(b)), F.when(n == 0, b).otherwise(F.overlay(b, unchars(F.repeat(F.lit("\0"), n.cast("int"))), i.cast("int") + 1, n.cast("int"))), OUT_OF_BOUNDS)
 
 
-def _slice(b: ColumnOrName, i: Column | int, n: Column | int):
+def _byte_range(b: ColumnOrName, i: Column | int, n: Column | int):
     """Bytes i..i+n-1, which must be inside."""
     b, i, n = col(b), num(i), num(n)
     return within(i, n, length(b)), part(b, i, n), OUT_OF_BOUNDS
 
 
-slice, try_slice = both(_slice, "slice")
-get_bytes, try_get_bytes = slice, try_slice
+byte_range, try_byte_range = both(_byte_range, "byte_range")
+get_bytes, try_get_bytes = byte_range, try_byte_range
 
 
 def copy(b: ColumnOrName, i: Column | int | None = None, n: Column | int | None = None) -> Column:
-    return col(b) if i is None else slice(b, i, n)
+    return col(b) if i is None else byte_range(b, i, n)
 
 
 def random_bytes(n: Column | int, seed: int) -> Column:
@@ -342,7 +342,7 @@ def compare(a: ColumnOrName, b: ColumnOrName) -> Column:
 
 
 def compare_ranges(a: ColumnOrName, i: Column | int, n: Column | int, b: ColumnOrName, j: Column | int, m: Column | int) -> Column:
-    return compare(slice(a, i, n), slice(b, j, m))
+    return compare(byte_range(a, i, n), byte_range(b, j, m))
 
 
 def equals(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -350,4 +350,4 @@ def equals(a: ColumnOrName, b: ColumnOrName) -> Column:
 
 
 def equals_range(a: ColumnOrName, i: Column | int, n: Column | int, b: ColumnOrName, j: Column | int, m: Column | int) -> Column:
-    return (num(n) == num(m)) & (slice(a, i, n) == slice(b, j, m))
+    return (num(n) == num(m)) & (byte_range(a, i, n) == byte_range(b, j, m))

@@ -160,10 +160,10 @@ def bin_compare(spark, sf_dir):
 
 
 @query("SELECT doc_id, substring(text, 3, 5) AS s, concat('#', substring(text, 2, 1), '##', substring(text, 5)) AS p, strlen(text) AS n FROM documents WHERE length(text) >= 10 AND strlen(substring(text, 1, 10)) = 10")
-def bin_slice_and_set(spark, sf_dir):
+def bin_range_and_set(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where((F.char_length("text") >= 10) & U.is_ascii(F.substring("text", 1, 10)))
     b = raw()
-    return d.select("doc_id", B.slice(b, 2, 5).cast("string").alias("s"), B.set_short(B.set_byte(b, 0, 35), 2, 35 * 257).cast("string").alias("p"), B.length(B.clear(b)).alias("n"))
+    return d.select("doc_id", B.byte_range(b, 2, 5).cast("string").alias("s"), B.set_short(B.set_byte(b, 0, 35), 2, 35 * 257).cast("string").alias("p"), B.length(B.clear(b)).alias("n"))
 
 
 @query(
@@ -259,6 +259,29 @@ def hash_murmur32_int(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", H.murmur3_32_int("o_custkey").cast("bigint").alias("h"))
 
 
+@query(_sql_xxh64())
+def hash_xxh64_bytes(spark, sf_dir):
+    """The hash of the eight bytes of each key."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", H.xxh64(B.set_long(B.zeros(8), 0, F.col("o_orderkey"))).alias("h"))
+
+
+@query(_sql_murmur_int())
+def hash_murmur32_bytes(spark, sf_dir):
+    """The hash of the four bytes of each key."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", H.murmur3_32(B.set_int(B.zeros(4), 0, F.col("o_custkey").cast("int"))).cast("bigint").alias("h"))
+
+
+@query(
+    f"SELECT item_id, CASE WHEN h >= {1 << 63}::UHUGEINT THEN (h::HUGEINT - {1 << 64}::HUGEINT)::BIGINT ELSE h::BIGINT END AS h FROM (SELECT item_id,"
+    f" list_reduce(list_prepend({0xCBF29CE484222325}::UHUGEINT, list_transform(range(1, length(text) + 1), lambda i: unicode(substring(text, i::int, 1))::UHUGEINT)), lambda a, b: (xor(a, b) * {0x100000001B3}::UHUGEINT) % {1 << 64}::UHUGEINT) AS h"
+    " FROM benchmark WHERE strlen(text) = length(text))"
+)
+def hash_fnv64(spark, sf_dir):
+    """Of ASCII texts, whose bytes SQL can name."""
+    items = table(spark, sf_dir, "benchmark").where(F.octet_length("text") == F.length("text"))
+    return items.select("item_id", H.fnv_hash64("text").alias("h"))
+
+
 @query()
 def hash_text(spark, sf_dir):
     """All families over whole texts."""

@@ -62,11 +62,11 @@ def test_setters_and_encoders(spark):
     one = spark.createDataFrame([(b"abcdef", [1, -1])], "b binary, a array<int>")
     for e, want in (
         (B.set_byte("b", 0, 0x141), b"Abcdef"), (B.set_short("b", 4, -1), b"abcd\xff\xff"), (B.set_int("b", 1, 1), b"a\1\0\0\0f"), (B.set_bytes("b", 6, F.lit(b"")), b"abcdef"), (B.set_array("b", 1, "a", "shorts"), b"a\1\0\xff\xfff"),
-        (B.fill("b", 0x41), b"AAAAAA"), (B.clear("b"), bytes(6)), (B.clear_range("b", 1, 2), b"a\0\0def"), (B.clear_range("b", 6, 0), b"abcdef"), (B.slice("b", 2, 3), b"cde"), (B.slice("b", 6, 0), b""), (B.copy("b"), b"abcdef"),
+        (B.fill("b", 0x41), b"AAAAAA"), (B.clear("b"), bytes(6)), (B.clear_range("b", 1, 2), b"a\0\0def"), (B.clear_range("b", 6, 0), b"abcdef"), (B.byte_range("b", 2, 3), b"cde"), (B.byte_range("b", 6, 0), b""), (B.copy("b"), b"abcdef"),
         (B.copy("b", 1, 2), b"bc"), (B.zeros(3), bytes(3)), (B.allocate(0), b""), (B.fill(F.lit(b""), 1), b""), (B.set_float(F.lit(b"...."), 0, F.lit(1.5)), struct.pack("<f", 1.5)),
     ):
         assert bytes(one.select(e).first()[0]) == want
-    for e in (B.slice("b", 5, 2), B.slice("b", -1, 2), B.slice("b", 0, -1), B.set_int("b", 3, 0), B.clear_range("b", 5, 2), B.zeros(-1), B.zeros(2**31 - 1)):
+    for e in (B.byte_range("b", 5, 2), B.byte_range("b", -1, 2), B.byte_range("b", 0, -1), B.set_int("b", 3, 0), B.clear_range("b", 5, 2), B.zeros(-1), B.zeros(2**31 - 1)):
         fails(one, e)
     got = one.select(B.random_bytes(9, 1)).first()[0]
     assert len(got) == 9 and len(one.select(B.random_bytes(0, 1)).first()[0]) == 0
