@@ -96,3 +96,19 @@ def test_dense_groups_and_equal_vectors(spark):
     got, want = found(A.neighbours(df)), brute(ids, x, 10)
     assert recall(got, want) >= 0.999
     assert all(got[i] == want[i] for i in ids[900:])  # equal scores by id
+
+
+def test_the_query_asks_for_every_fiftieth(spark):
+    from byteloom.llm import queries
+
+    got = found(queries.op7_nearest_neighbours(spark, "/root/testdata/sf0.1"))
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    want = brute([r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float32), 10)
+    assert set(got) == {r.vec_id for r in rows if r.vec_id % 50 == 0}
+    assert recall(got, {i: w for i, w in want.items() if i % 50 == 0}) >= 0.999
+
+
+def test_long_lists_have_several_blocks():
+    first, parts, blocks = A.blocks_of(np.array([3, 4, 25, 0, 9, 2]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1] and blocks == 6
+    assert A.blocks_of(np.array([0]), 10)[2] == 1
