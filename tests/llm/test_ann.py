@@ -108,6 +108,27 @@ def test_the_query_asks_for_every_fiftieth(spark):
     assert recall(got, {i: w for i, w in want.items() if i % 50 == 0}) >= 0.999
 
 
+def test_every_vector_is_indexed_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(A, "SAMPLE", 60)
+    monkeypatch.setattr(A, "LISTS", 7)
+    monkeypatch.setattr(A, "BLOCK", 70)
+    monkeypatch.setattr(A, "SLICE", 32)
+    fitted = []
+    monkeypatch.setattr(A, "fit_lists", lambda rows, *a, fit=A.fit_lists: fitted.append(rows.count()) or fit(rows, *a))
+    r = np.random.default_rng(4)
+    near = r.normal(size=(1, 12)) + 0.01 * r.normal(size=(400, 12))  # one list's vectors fill many blocks
+    x = np.concatenate([r.normal(size=(300, 12)), near, np.repeat(r.normal(size=(1, 12)), 90, axis=0), np.zeros((3, 12))]).astype(np.float32)
+    ids = (r.permutation(len(x)) - 200).tolist()
+    df = table(spark, [(i, v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<float>")
+    got, want = found(A.neighbours(df, every=3)), brute(ids, x, 10)
+    assert fitted[0] < 200
+    assert set(got) == {i for i in ids if i % 3 == 0}
+    assert recall(got, {i: want[i] for i in got}) >= 0.999
+    assert all(got[i] == want[i] for i in ids[700:790] if i in got)  # equal scores by id
+    few = found(A.neighbours(df, every=3, probed=0.5))
+    assert set(few) == set(got) and all(len(v) == 10 for v in few.values())
+
+
 def test_long_lists_have_several_blocks():
     first, parts, blocks = A.blocks_of(np.array([3, 4, 25, 0, 9, 2]), 10)
     assert first.tolist() == [0, 0, 1, 4, 4, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1] and blocks == 6
