@@ -10,7 +10,6 @@ a bucket adds up what it gets and answers each chunk. An n-gram travels once for
 
 from __future__ import annotations
 
-import gc
 import math
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byteloom._ship import by_value
-from byteloom.llm.common import table, whole_number, words
+from byteloom.llm.common import drop_tables, table, tables_so_far, whole_number, words
 
 by_value(__name__)
 
@@ -288,36 +287,32 @@ def _scores(weights: np.ndarray, tokens: int, docs: int, types: int):
     return run
 
 
-def _free(spark) -> None:
-    """Has the driver drop the shuffle files that nothing refers to any more; else they lie there until it happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS, order: int | None = None) -> DataFrame:
     """(doc_id, n_words, log2_prob, bits_per_token, perplexity, held_out) of every row, by a model of ``order`` words, ORDER by default.
 
-    Orders are counted one after the other, so that the n-grams of one lie in shuffle files at a time.
+    Orders are counted one after the other, so that the n-grams of one lie in shuffle files at a time; shuffle files and tables are deleted once what was made of them is written.
     Tokens are words in lower case and an end; null and empty texts are an end alone, which is scored. A document is held out by its id; rows without an id never are.
     Repeated rows are counted and scored each. Of a table without held-out documents the weights are equal; of one without words only the uniform estimate counts.
     Long texts are counted and scored whole. Ids must be integers. Other columns are ignored; an empty table gives an empty one."""
     whole_number(docs, id_col)
     order = order or ORDER
     rows = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
+    spark = docs.sparkSession
+    since = tables_so_far(spark)
     chunks = table(rows.mapInArrow(_chunks(chunk_tokens), "chunk bigint, ids array<bigint>, lens array<int>, held array<boolean>, words binary, seq binary"))
     known = chunks.select(F.expr("aggregate(lens, 0L, (a, x) -> a + x)").alias("n"), F.expr("size(filter(held, x -> not x))").alias("d")).agg(F.sum("n").alias("n"), F.sum("d").alias("d")).first()
     bits = max(4, math.ceil(math.log2(max(1, (known.n or 0) / BUCKET_TOKENS))))
     sums = None
     for n in range(1, order + 1):
         sent = chunks.select("chunk", "lens", "held", "words", "seq").mapInArrow(_send(order, n, bits), "bucket bigint, chunk bigint, keys binary, times binary")
-        own = table(sent.repartition(min(1 << bits, TASKS), "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answer, "bucket bigint, chunk bigint, sums binary, types bigint, tokens bigint"))
+        own = table(sent.repartition(min(1 << bits, TASKS), "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answer, "bucket bigint, chunk bigint, sums binary, types bigint, tokens bigint"), free=True)
         sums = own if sums is None else sums.unionByName(own)
-        del sent
-        _free(docs.sparkSession)
     whole = sums.where(f"chunk is null and bucket % {order} = 0").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
     types, tokens, n_docs = whole.types or 0, whole.tokens or 0, known.d or 0
     answers = sums.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sums")).alias("got"))
-    placed = table(chunks.join(answers, "chunk").select("chunk", "ids", "lens", "held", "words", "seq", "got").mapInArrow(_place(order), "chunk bigint, ids array<bigint>, lens array<int>, held array<boolean>, totals array<binary>"))
+    placed = table(chunks.join(answers, "chunk").select("chunk", "ids", "lens", "held", "words", "seq", "got").mapInArrow(_place(order), "chunk bigint, ids array<bigint>, lens array<int>, held array<boolean>, totals array<binary>"), free=True)
+    drop_tables(spark, since, placed)
     held = table(placed.mapInArrow(_held_estimates(tokens, n_docs, types), "cls binary, p array<binary>"))
     weights = _learn(held, order, types)
+    drop_tables(spark, since, placed)
     return placed.mapInArrow(_scores(weights, tokens, n_docs, types), "doc_id bigint, n_words bigint, log2_prob double, bits_per_token double, perplexity double, held_out boolean")

@@ -77,3 +77,21 @@ def test_ids_must_be_whole_numbers(spark):
     C.whole_number(spark.sql("select null id"), "id")
     with pytest.raises(TypeError, match="'id' must be integers, not string"):
         C.whole_number(spark.sql("select 'a-1' id"), "id")
+
+
+def test_shuffle_files_of_a_table_are_deleted_at_once(spark):
+    import time
+
+    def shuffle_files():
+        return spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().toString().count("shuffle_")
+
+    rows = spark.range(2000).repartition(3, "id")
+    before = shuffle_files()
+    cleanup = spark.conf.get(C.CLEANUP, None)
+    kept = C.table(rows, free=True)
+    for _ in range(50):
+        if shuffle_files() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffle_files() <= before and kept.count() == 2000 and rows.count() == 2000
+    assert spark.conf.get(C.CLEANUP, None) == cleanup

@@ -107,3 +107,13 @@ def test_the_query_has_trigrams(spark):
 
     docs = documents(spark)
     same(queries.op3_lm_score(spark, SF), [tuple(r) for r in docs.select("doc_id", "text").collect()], 3)
+
+
+def test_tables_are_deleted_once_used(spark):
+    from byteloom.llm.common import tables_so_far
+
+    since = tables_so_far(spark)
+    docs = documents(spark)
+    scored = lm.score(docs, order=3)
+    assert tables_so_far(spark) - since == 1  # what the result is made of
+    assert scored.count() == scored.count() == docs.count()
